@@ -23,18 +23,21 @@ from pyspark.sql import functions as F
 
 from ._common import own_names, scratch
 
-CACHE_CHUNKS = 300_000
+#: Distinct chunks a worker keeps, twice: those met lately and those before them.
+CACHE_CHUNKS = 200_000
 SLICE_CHARS = 1_000_000
 
 
 class ChunkEncoder:
     """Encodes whole texts by chunks between which the tokenizer can never merge.
 
-    The library encodes every distinct chunk once; a text's ids are its chunks' ids joined.
-    ``byte_level``: no normalizer and the usual byte-level pattern, where a pre-token starts at
-    every single space and line break; texts with two white-space characters in a row are
-    encoded whole. ``spaced``: a pattern that drops white space, so words are apart. Any other
-    tokenizer definition is used on whole texts.
+    The library encodes every distinct chunk; a text's ids are its chunks' ids joined. ``byte_level``:
+    no normalizer and the usual byte-level pattern, where a pre-token starts at every single space and
+    line break; texts with two white-space characters in a row are encoded whole. ``spaced``: a pattern
+    that drops white space, so words are apart. Any other tokenizer definition is used on whole texts.
+
+    Chunks not met lately go to the library many at a time, parted by a mark that is a token of its own;
+    chunks that hold white space or the mark go one by one.
     """
 
     def __init__(self, path: str):
@@ -45,9 +48,12 @@ class ChunkEncoder:
             spec = json.load(f)
         self.mode = self._mode(spec)
         self.vocab = self.tokenizer.get_vocab_size()
-        self.head: dict[str, bytes] = {}
-        self.rest: dict[str, bytes] = {}
-        self.line = self._encode(["\n"])[0] if self.mode == "byte_level" else b""
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.lead, self.mark = (" ", "\n") if self.mode == "byte_level" else ("", " | ")
+        mark = self._encode([self.mark])[0] if self.mode != "whole" else b""
+        self.mark_ids = mark
+        self.mark_id = int(np.frombuffer(mark, "<u4")[0]) if len(mark) == 4 else None
 
     @staticmethod
     def _mode(spec: dict) -> str:
@@ -66,52 +72,71 @@ class ChunkEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
-    def _fill(self, cache: dict, chunks: set, lead: str) -> None:
-        missing = [c for c in chunks if c not in cache]
-        if missing:
-            if len(cache) + len(missing) > CACHE_CHUNKS:
-                cache.clear()
-                missing = list(chunks)
-            cache.update(zip(missing, self._encode([lead + c for c in missing])))
-
     _twice = re.compile(r"\s\s")
+    _apart = re.compile(r"[\s|]")
     _blank = re.compile(r"[ \t\n\r\x0b\x0c]+")
 
+    def _many(self, chunks: list[str], lead: str) -> list[bytes]:
+        """The ids of each of ``lead`` + chunk."""
+        out: dict[str, bytes] = {}
+        plain = [c for c in chunks if c and not self._apart.search(c)] if self.mark_id is not None else []
+        groups = [plain[a : a + 2000] for a in range(0, len(plain), 2000)]
+        for group, raw in zip(groups, self._encode([self.mark.join([lead + c for c in g]) for g in groups])):
+            cut = np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark_id)
+            if len(cut) == len(group) - 1:
+                starts, ends = [0, *((cut + 1) * 4).tolist()], [*(cut * 4).tolist(), len(raw)]
+                out.update((c, raw[a:z]) for c, a, z in zip(group, starts, ends))
+        rest = [c for c in chunks if c not in out]
+        out.update(zip(rest, self._encode([lead + c for c in rest])))
+        return [out[c] for c in chunks]
+
+    def _fill(self, chunks: list[str]) -> None:
+        """Put the ids of chunks not met lately into the cache; one that begins with a line break has no space before its word."""
+        if len(self.young) + len(chunks) > CACHE_CHUNKS:
+            self.young, self.old = {}, self.young
+        old, young = self.old, self.young
+        new = []
+        for c in chunks:
+            v = old.get(c)
+            if v is None:
+                new.append(c)
+            else:
+                young[c] = v
+        if self.mode == "byte_level":
+            lines = [c[1:] for c in new if c[:1] == "\n"]
+            young.update(("\n" + c, self.mark_ids + v) for c, v in zip(lines, self._many(lines, "")))
+            new = [c for c in new if c[:1] != "\n"]
+        young.update(zip(new, self._many(new, self.lead)))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian uint32 bytes."""
         if self.mode == "whole":
             return self._encode(texts)
-        if self.mode == "spaced":
-            split = [self._blank.split(t) for t in texts]
-            self._fill(self.rest, set().union(*split) if split else set(), "")
-            get = self.rest.__getitem__
-            return [b"".join(map(get, s)) for s in split]
-        out: list[bytes | None] = [None] * len(texts)
-        plain, whole = [], []
-        heads, rests = set(), set()
+        out: list[bytes] = [b""] * len(texts)
+        flat: list[str] = []
+        spans, whole, firsts = [], [], []
         for i, t in enumerate(texts):
-            if self._twice.search(t):
+            if self.mode == "spaced":
+                chunks = self._blank.split(t)
+            elif self._twice.search(t):
                 whole.append(i)
                 continue
-            lines = [x.split(" ") for x in t.split("\n")]
-            plain.append((i, lines))
-            for x in lines:
-                heads.add(x[0])
-                rests.update(x[1:])
-        self._fill(self.head, heads, "")
-        self._fill(self.rest, rests, " ")
-        first, get, line = self.head, self.rest.__getitem__, self.line
-        for i, lines in plain:
-            parts: list[bytes] = []
-            for k, x in enumerate(lines):
-                if k:
-                    parts.append(line)
-                parts.append(first[x[0]])
-                parts.extend(map(get, x[1:]))
-            out[i] = b"".join(parts)
-        for i, ids in zip(whole, self._encode([texts[i] for i in whole])):
-            out[i] = ids
-        return out  # type: ignore[return-value]
+            else:
+                chunks = t.replace("\n", " \n").split(" ")
+                firsts.append(chunks.pop(0))
+            spans.append((i, len(flat), len(flat) + len(chunks)))
+            flat += chunks
+        ids = list(map(self.young.get, flat))
+        if None in ids:
+            self._fill(list({c for c, v in zip(flat, ids) if v is None}))
+            missed = self.young.get
+            ids = [missed(c) if v is None else v for c, v in zip(flat, ids)]
+        heads = self._many(firsts, "") if firsts else [b""] * len(spans)
+        for (i, a, z), head in zip(spans, heads):
+            out[i] = head + b"".join(ids[a:z])
+        for i, v in zip(whole, self._encode([texts[i] for i in whole])):
+            out[i] = v
+        return out
 
 
 @lru_cache(maxsize=4)
