@@ -1,0 +1 @@
+"""Relational operators: intervals, feature counts, coverage, minimizers, trees, alignment."""

@@ -1,0 +1 @@
+"""The operators have no streaming form of their own: the reference semantics are batch only."""
