@@ -1,0 +1,45 @@
+"""The registered queries against DuckDB, and the pipeline stage by stage."""
+
+import os
+
+import pytest
+
+from lichenmill.llm import exact, oracles, queries
+
+SF = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
+
+
+def test_queries_against_sql(spark):
+    duckdb = pytest.importorskip("duckdb")
+    con = duckdb.connect()
+    for name in ("documents", "conversations"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{SF}/{name}.parquet')")
+    plain = lambda v: round(v, 6) if isinstance(v, float) else v
+    for name, sql in oracles.oracle_sql().items():
+        df = queries.queries()[name](spark, SF)
+        cur = con.execute(sql)
+        names = [d[0] for d in cur.description]
+        assert sorted(names) == sorted(df.columns), name
+        want = [tuple(plain(r[names.index(c)]) for c in df.columns) for r in cur.fetchall()]
+        assert sorted(map(repr, (tuple(map(plain, r)) for r in df.collect()))) == sorted(map(repr, want)), name
+
+
+def test_pipeline_stages(spark):
+    import corpus_pipeline as p
+
+    assert [k for k, _ in p.STAGES] == ["quality", "exact_dedup", "near_dedup", "mixing", "packing"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    columns, before = docs.columns, docs.count()
+    for name, stage in p.STAGES:
+        docs = stage(spark, docs, SF).persist()
+        after = docs.count()
+        assert after > 0
+        if name != "packing":
+            assert docs.columns == columns
+        if name in ("quality", "exact_dedup", "near_dedup"):
+            assert after <= before
+        if name == "exact_dedup":
+            assert exact.exact_groups(docs).where("group_size > 1").count() == 0
+        before = after
+    assert docs.columns[:3] == ["doc_id", "start", "length"]
