@@ -460,3 +460,47 @@ def test_chat(spark):
     assert chat.read_back(chat.format_examples(df.limit(0))).count() == 0
     plan = chat.read_back(made)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def _jaccard(a, b, k=5):
+    def s(t):
+        w = WORD.findall(lower((t or "").encode()))
+        return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))}
+
+    x, y = s(a), s(b)
+    return len(x & y) / len(x | y)
+
+
+def test_similar_groups(spark, odd):
+    rnd = random.Random(12)
+    vocab = [f"w{i}" for i in range(400)]
+    rows = list(odd[:60])
+    for g in range(12):
+        base = [rnd.choice(vocab) for _ in range(rnd.randint(80, 200))]
+        for c in range(rnd.choice([2, 3, 15])):
+            copy = base[:]
+            copy[rnd.randrange(len(copy))] = "changed"
+            rows.append((1000 + 20 * g + c, " ".join(copy), "s"))
+    got = {r.doc_id: (r.component_id, r.kept) for r in simhash.similar_groups(docs(spark, rows)).collect()}
+    assert len(got) == len(rows)
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if _jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                root[find(i)] = find(j)
+    least: dict = {}
+    for i, (d, *_) in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), d), d)
+    want = {d: least[find(i)] for i, (d, *_) in enumerate(rows)}
+    missed = sum(got[d][0] != want[d] for d in want)
+    assert missed <= len(rows) // 20 and all(k == (d == c) for d, (c, k) in got.items())
+    assert not any(got[d][0] != d for d in want if list(want.values()).count(want[d]) == 1)  # clean documents stay
+    kept = simhash.drop_similar(docs(spark, odd))
+    assert kept.columns == docs(spark, odd).columns and 0 < kept.count() < len(odd)
+    assert simhash.drop_similar(docs(spark, odd).limit(0)).count() == 0
