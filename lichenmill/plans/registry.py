@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lichenmill.functions import cigar, flags, misc, pairwise, quality, sequences
 from lichenmill.operators import align, analysis, intervals, minimizers, tree
 from lichenmill.scratch import scratch_path
+from lichenmill.ship import ship
 from lichenmill.sources import biom, fastx, newick, sam, sff, sinks, text
 
 _QUERIES: dict = {}
@@ -37,6 +38,7 @@ def oracle_sql() -> dict[str, str]:
 
 
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
