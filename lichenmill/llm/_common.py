@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lichenmill.ship import ship
+
 #: A word is a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -22,7 +24,8 @@ _own: dict[str, str] = {}
 
 
 def configure(spark: SparkSession) -> None:
-    """Arrow batches small enough that long texts fit a worker's memory."""
+    """Arrow batches small enough that long texts fit a worker's memory, and the package on the workers' path."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
 
 
