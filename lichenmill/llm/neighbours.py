@@ -16,8 +16,8 @@ from pyspark.sql import functions as F
 
 from ._common import materialize, own_names, runs
 
-DEGREE, PASSES, STRETCH, ROUNDS = 20, 6, 512, 3
-POOL, EXPAND, HOPS = 200, 24, 4
+DEGREE, PASSES, STRETCH, ROUNDS = 24, 6, 512, 3
+POOL, EXPAND, HOPS = 400, 48, 5
 #: The projections' medians are fitted on this many vectors at most; every vector is indexed.
 SAMPLE = 4096
 
