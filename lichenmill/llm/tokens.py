@@ -24,7 +24,9 @@ from pyspark.sql import functions as F
 from ._common import own_names, scratch
 
 #: Distinct chunks a worker keeps, twice: those met lately and those before them.
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 400_000
+#: Chunks that go to the library as one text.
+GROUP = 200
 SLICE_CHARS = 1_000_000
 
 
@@ -54,6 +56,11 @@ class ChunkEncoder:
         mark = self._encode([self.mark])[0] if self.mode != "whole" else b""
         self.mark_ids = mark
         self.mark_id = int(np.frombuffer(mark, "<u4")[0]) if len(mark) == 4 else None
+        # lower-cased ASCII is what the plain normalizers leave of ASCII, so they need not run on it
+        self.bare = None
+        if self.mode == "spaced" and all("|" in t["content"] for t in spec.get("added_tokens", [])) and "Lowercase" in json.dumps(spec["normalizer"]):
+            self.bare = Tokenizer.from_file(path)
+            self.bare.normalizer = None
 
     @staticmethod
     def _mode(spec: dict) -> str:
@@ -68,24 +75,31 @@ class ChunkEncoder:
         later = all(x.get("type") == "ByteLevel" and not x.get("use_regex") and not x.get("add_prefix_space") for x in steps[1:])
         return "spaced" if drops and plain and later else "whole"
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    def _encode(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        found = (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(x.ids, dtype="<u4").tobytes() for x in found]
 
     _twice = re.compile(r"\s\s")
     _apart = re.compile(r"[\s|]")
     _blank = re.compile(r"[ \t\n\r\x0b\x0c]+")
+    #: White space to str.split, but perhaps not to a tokenizer.
+    _odd = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
     def _many(self, chunks: list[str], lead: str) -> list[bytes]:
         """The ids of each of ``lead`` + chunk."""
         out: dict[str, bytes] = {}
         plain = [c for c in chunks if c and not self._apart.search(c)] if self.mark_id is not None else []
-        groups = [plain[a : a + 2000] for a in range(0, len(plain), 2000)]
-        for group, raw in zip(groups, self._encode([self.mark.join([lead + c for c in g]) for g in groups])):
-            cut = np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark_id)
-            if len(cut) == len(group) - 1:
-                starts, ends = [0, *((cut + 1) * 4).tolist()], [*(cut * 4).tolist(), len(raw)]
-                out.update((c, raw[a:z]) for c, a, z in zip(group, starts, ends))
+        kinds = [(plain, None)]
+        if self.bare is not None:
+            kinds = [([c for c in plain if c.isascii()], self.bare), ([c for c in plain if not c.isascii()], None)]
+        for some, tokenizer in kinds:
+            groups = [some[a : a + GROUP] for a in range(0, len(some), GROUP)]
+            joined = [self.mark.join([lead + c for c in g]) for g in groups]
+            for group, raw in zip(groups, self._encode([j.lower() for j in joined] if tokenizer else joined, tokenizer)):
+                cut = np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark_id)
+                if len(cut) == len(group) - 1:
+                    starts, ends = [0, *((cut + 1) * 4).tolist()], [*(cut * 4).tolist(), len(raw)]
+                    out.update((c, raw[a:z]) for c, a, z in zip(group, starts, ends))
         rest = [c for c in chunks if c not in out]
         out.update(zip(rest, self._encode([lead + c for c in rest])))
         return [out[c] for c in chunks]
@@ -117,7 +131,7 @@ class ChunkEncoder:
         spans, whole, firsts = [], [], []
         for i, t in enumerate(texts):
             if self.mode == "spaced":
-                chunks = self._blank.split(t)
+                chunks = self._blank.split(t) if self._odd.search(t) else t.split()
             elif self._twice.search(t):
                 whole.append(i)
                 continue
