@@ -14,10 +14,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import materialize, own_names, runs
+from ._common import materialize, own_names, release, runs
 
 DEGREE, PASSES, STRETCH, ROUNDS = 24, 6, 512, 3
-POOL, EXPAND, HOPS = 400, 48, 5
+POOL, EXPAND, HOPS = 600, 80, 7
 #: The projections' medians are fitted on this many vectors at most; every vector is indexed.
 SAMPLE = 4096
 
@@ -117,6 +117,7 @@ def build_graph(nodes: DataFrame, dim: int, degree: int = DEGREE, rounds: int =
         dealt = pairs.repartition("node").sortWithinPartitions("node", "nbr")
         found = dealt.mapInArrow(compare, "node long, nbr long, dist float").withColumn("fresh", F.lit(True))
         graph = materialize(_nearest(graph.withColumn("fresh", F.lit(False)).unionByName(found), degree), "graph")
+        release(nodes.sparkSession)
     return graph
 
 
@@ -144,6 +145,7 @@ def search_graph(graph: DataFrame, nodes: DataFrame, queries: DataFrame, degree:
         both = turn.select("query", "nbr", "dist", (F.col("seen") | F.col("next")).alias("seen")).unionByName(new)
         best = Window.partitionBy("query").orderBy("dist", "nbr")
         found = materialize(both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= pool).drop("rank"), "pool")
+        release(nodes.sparkSession)
     return found.select("query", "nbr", "dist")
 
 
