@@ -1,6 +1,6 @@
 """Quality classifier by importance resampling.
 
-Two generative models over hashed byte n-grams are counted: one on labelled good texts (the
+Two generative models over hashed byte n-grams, and over whether a word repeats the one before it, are counted: one on labelled good texts (the
 target), one on all texts (raw). A document's importance is its mean log ratio of the two times a
 fixed temperature, so that length does not decide. Gumbel noise is added and the k largest stay;
 k is the number of documents whose importance passes the level that best parts the labelled ones.
@@ -14,18 +14,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import materialize, own_names
+from .maxent import word_hashes
 
-FEATURES, GRAM, TEMPERATURE = 1 << 16, 3, 60.0
+#: Buckets of byte 3-grams, then one for a word that follows another and one for a word that repeats it.
+GRAMS = 1 << 16
+FEATURES, GRAM, TEMPERATURE = GRAMS + 2, 3, 60.0
 #: At most this many labelled documents are used for the target model and for the level.
 LABELLED = 20_000
 CHUNK = 1 << 20
 
 
 def _codes(buf: np.ndarray) -> np.ndarray:
-    """Bucket of each byte 3-gram that starts in ``buf``."""
+    """Buckets of each byte 3-gram that starts in ``buf`` and of each word after the first."""
+    if len(buf) < GRAM:
+        return np.empty(0, np.int64)
     x = buf.astype(np.uint32)
     h = (x[:-2] | (x[1:-1] << np.uint32(8)) | (x[2:] << np.uint32(16))) * np.uint32(2654435761)
-    return (h >> np.uint32(16)).astype(np.int64)
+    words = word_hashes(buf)[1]
+    return np.concatenate([(h >> np.uint32(16)).astype(np.int64), GRAMS + (words[1:] == words[:-1])])
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -42,7 +48,7 @@ def _each(column: pa.Array):
     for i in range(len(column)):
         for a in range(at[i], max(at[i] + 1, at[i + 1] - GRAM + 1), CHUNK):
             z = min(a + CHUNK + GRAM - 1, at[i + 1])
-            yield i, _codes(flat[a:z]) if z - a >= GRAM else np.empty(0, np.int64)
+            yield i, _codes(flat[a:z])
 
 
 def ngram_counts(texts: DataFrame) -> DataFrame:

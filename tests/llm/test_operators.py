@@ -332,12 +332,15 @@ def test_quality(spark):
 
 
 def test_quality_weights_by_brute_force(spark):
-    texts = ["abcabc", "xyz", "", "ab", "é好"]
+    texts = ["abcabc", "xyz", "", "ab", "é好", "ab ab\tab c"]
     model = quality.QualityModel(spark, np.arange(quality.FEATURES) / 1000)
     rows = model.scored(make(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
     for r in rows:
         b = r.text.encode()
         codes = [(((b[i] | b[i + 1] << 8 | b[i + 2] << 16) * 2654435761) % 2**32) >> 16 for i in range(len(b) - 2)]
+        if codes:
+            w = b.split()
+            codes += [quality.GRAMS + (x == y) for x, y in zip(w, w[1:])]
         want = quality.TEMPERATURE * sum(np.float32(c / 1000) for c in codes) / max(1, len(codes))
         assert abs(r["__weight"] - want) < 1e-3 * max(1, abs(want))
 
