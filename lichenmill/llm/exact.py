@@ -142,8 +142,8 @@ def _common_prefix(a: bytes, b: bytes) -> int:
     return len(os.path.commonprefix([a, b]))
 
 
-def _fold(keep: str, most: int):
-    """Batches of (text, owner, count) to distinct texts; bounded by draining at ``most`` bytes or spilling."""
+def _picker(keep: str):
+    """Which of two owners stays; one without an id gives way."""
 
     def better(a, b):
         if a is None or b is None:
@@ -155,7 +155,7 @@ def _fold(keep: str, most: int):
 
 def owners(rows: DataFrame, keep: str, most: int = TRIE_BYTES) -> DataFrame:
     """text_sha256, length, keep_id, group_size: one row a distinct text of ``rows`` (doc_id, text binary)."""
-    better = _fold(keep, most)
+    better = _picker(keep)
 
     def out(items):
         got, size = [], 0
