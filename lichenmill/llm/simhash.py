@@ -192,9 +192,12 @@ def drop_near(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
 #
 # Fingerprints of single words move little when a few words change: of pairs with a five-word shingle
 # similarity of 0.8 or more, 97.6 % lay within 4 of 64 bits (sf0.1), against 4 % for four-word shingles.
-# They propose pairs; the similarity of the whole texts' shingle sets decides.
+# They propose pairs; the similarity of the texts' shingle sets decides, by the SKETCH smallest shingle
+# hashes of each: exact for texts of fewer shingles, with a standard error of 0.035 at 0.8 for longer ones.
 
-#: Buckets of up to this many rows propose all their pairs, larger ones two spanning forests.
+SKETCH = 128
+
+#: Buckets of up to this many rows propose all their pairs, larger ones a spanning forest.
 ALL_PAIRS = 8
 
 
@@ -238,7 +241,7 @@ def _propose(radius: int):
                 ok = np.bitwise_count(fps[i] ^ fps[j]) <= radius
                 pairs = list(zip(nodes[i[ok]].tolist(), nodes[j[ok]].tolist()))
             else:
-                pairs = _forest_pairs(fps, nodes, radius) + _forest_pairs(fps[::-1], nodes[::-1], radius)
+                pairs = _forest_pairs(fps, nodes, radius)
             if pairs:
                 a = np.sort(np.array(pairs, np.int64), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["u", "v"])
@@ -250,42 +253,38 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
     """node, doc_id, component_id, kept: near-duplicates by the Jaccard similarity of word shingles.
 
     node is a hash of doc_id and text, so repeated rows are one document. Pairs within ``radius`` bits of
-    their word fingerprints are proposed by covering masks and then verified on whole texts. component_id
+    their word fingerprints are proposed by covering masks and then verified on sketches of whole texts. component_id
     is the smallest doc_id of the group, and the document that has it is kept (of several, one).
     """
     rows = docs.select(node_id().alias("node"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
 
     def mark(batches):
         for b in batches:
-            fp = np.fromiter((fingerprint(t.as_py(), 1) for t in b.column(2)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64))], ["node", "doc_id", "fp"])
+            texts = [t.as_py() for t in b.column(2)]
+            fp = np.fromiter((fingerprint(t, 1) for t in texts), np.uint64, len(texts))
+            low = [(shingle_set(t, shingle)[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64)), pa.array(low, pa.binary())], ["node", "doc_id", "fp", "sketch"])
 
-    marked = materialize(rows.mapInArrow(mark, "node long, doc_id long, fp long").dropDuplicates(["node"]), "word-fingerprints")
+    marked = materialize(rows.mapInArrow(mark, "node long, doc_id long, fp long, sketch binary").dropDuplicates(["node"]), "word-fingerprints")
     tables = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(m).cast("long").alias("m")) for i, m in enumerate(covering_masks(radius))])
     keyed = marked.withColumn("x", F.explode(tables)).select(F.xxhash64(F.col("x.t"), F.col("fp").bitwiseAND(F.col("x.m"))).alias("bucket"), "node", "fp")
     dealt = keyed.repartition("bucket").sortWithinPartitions("bucket", "node")
     pairs = materialize(dealt.mapInArrow(_propose(radius), "u long, v long").distinct(), "proposed")
 
-    def sets(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingle_set(t.as_py(), shingle).tobytes() for t in b.column(1)], pa.binary())], ["node", "shingles"])
-
-    named = pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct()
-    texts = rows.select("node", "text").join(named, "node", "left_semi").dropDuplicates(["node"])
-    shingles = materialize(texts.mapInArrow(sets, "node long, shingles binary"), "shingle-sets")
-
     def verify(batches):
         for b in batches:
             ok = np.zeros(b.num_rows, bool)
             for i, (x, y) in enumerate(zip(b.column(2), b.column(3))):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                if min(len(p), len(q)) >= similarity * max(len(p), len(q)):
-                    both = len(np.intersect1d(p, q, assume_unique=True))
-                    ok[i] = both >= similarity * (len(p) + len(q) - both)
+                p, q = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
+                both, either = np.intersect1d(p, q), np.union1d(p, q)
+                if max(len(p), len(q)) >= SKETCH:  # past the shorter list's end the union is not known
+                    either = either[:SKETCH]
+                    both = both[both <= either[-1]]
+                ok[i] = len(both) >= similarity * len(either)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["u", "v"])
 
-    a = shingles.select(F.col("node").alias("u"), F.col("shingles").alias("a"))
-    z = shingles.select(F.col("node").alias("v"), F.col("shingles").alias("z"))
+    a = marked.select(F.col("node").alias("u"), F.col("sketch").alias("a"))
+    z = marked.select(F.col("node").alias("v"), F.col("sketch").alias("z"))
     edges = pairs.join(a, "u").join(z, "v").select("u", "v", "a", "z").mapInArrow(verify, "u long, v long")
     linked = marked.select("node", "doc_id").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
