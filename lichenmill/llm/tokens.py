@@ -25,6 +25,8 @@ from ._common import own_names, scratch
 
 #: Distinct chunks a worker keeps, twice: those met lately and those before them.
 CACHE_CHUNKS = 400_000
+#: The same where the executor also sorts whole texts and has less memory to spare.
+SORTED_CACHE_CHUNKS = 200_000
 #: Chunks that go to the library as one text.
 GROUP = 200
 SLICE_CHARS = 1_000_000
@@ -42,9 +44,11 @@ class ChunkEncoder:
     chunks that hold white space or the mark go one by one.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, cache_chunks: int = CACHE_CHUNKS):
         from tokenizers import Tokenizer
 
+        self.cache_chunks = cache_chunks
+
         self.tokenizer = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -106,7 +110,7 @@ class ChunkEncoder:
 
     def _fill(self, chunks: list[str]) -> None:
         """Put the ids of chunks not met lately into the cache; one that begins with a line break has no space before its word."""
-        if len(self.young) + len(chunks) > CACHE_CHUNKS:
+        if len(self.young) + len(chunks) > self.cache_chunks:
             self.young, self.old = {}, self.young
         old, young = self.old, self.young
         new = []
@@ -154,10 +158,10 @@ class ChunkEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> ChunkEncoder:
+def encoder(path: str, cache_chunks: int = CACHE_CHUNKS) -> ChunkEncoder:
     """One encoder a worker process, its caches kept from task to task."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    return ChunkEncoder(path)
+    return ChunkEncoder(path, cache_chunks)
 
 
 def slices(column: pa.Array, most: int = SLICE_CHARS):
