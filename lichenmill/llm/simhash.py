@@ -192,11 +192,14 @@ def drop_near(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
 #
 # Fingerprints of single words move little when a few words change: of pairs with a five-word shingle
 # similarity of 0.8 or more, 97.6 % lay within 4 of 64 bits (sf0.1), against 4 % for four-word shingles.
-# They propose pairs; the similarity of the texts' shingle sets decides, by the SKETCH smallest shingle
-# hashes of each: exact for texts of fewer shingles, with a standard error of 0.035 at 0.8 for longer ones.
+# They propose pairs; those whose SKETCH smallest shingle hashes are within SURE of the line make families,
+# and in each family the texts' whole shingle sets decide.
 
 SKETCH = 128
 
+#: Over eight standard errors of a sketch at 0.8: a pair that is this far below the line is none.
+SURE = 0.3
+
 #: Buckets of up to this many rows propose all their pairs, larger ones a spanning forest.
 ALL_PAIRS = 8
 
@@ -249,11 +252,59 @@ def _propose(radius: int):
     return propose
 
 
+def group_sets(sets: list[np.ndarray], similarity: float) -> list[int]:
+    """For each set of hashes the first set that links of ``similarity`` or more lead to."""
+    size = np.array([len(x) for x in sets])
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    parts = np.split(ids, np.cumsum(size)[:-1])
+    root, mark = list(range(len(sets))), np.zeros(int(ids.max()) + 1, bool)
+    left = np.arange(len(sets))
+    flat, starts = ids, np.cumsum(size) - size
+    while len(left) > 1:
+        first, todo = int(left[0]), [int(left[0])]
+        keep = np.arange(len(left)) > 0
+        while True:
+            if not keep.all():  # only what is left is looked at again
+                flat, left = flat[np.repeat(keep, size[left])], left[keep]
+                starts = np.cumsum(size[left]) - size[left]
+            if not todo or not len(left):
+                break
+            u = todo.pop()
+            mark[parts[u]] = True
+            both = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+            mark[parts[u]] = False
+            keep = both / (size[u] + size[left] - both) < similarity
+            hit = left[~keep].tolist()
+            todo += hit
+            for v in hit:
+                root[v] = first
+    return root
+
+
+def _whole_groups(rows: DataFrame, families: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """node, root: groups by whole shingle sets within ``families`` (node, root), which no similar pair crosses."""
+
+    def sets(batches):
+        for b in batches:
+            found = [shingle_set(t.as_py(), shingle).tobytes() for t in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["family", "node", "shingles"])
+
+    def grow(batches):
+        for _, t in runs(batches, "family"):
+            nodes = t.column("node").to_numpy()
+            root = group_sets([np.frombuffer(x.as_py(), np.uint64) for x in t.column("shingles")], similarity)
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "root"])
+
+    texts = rows.select("node", "text").join(families.withColumnRenamed("root", "family"), "node").dropDuplicates(["node"])
+    shingles = texts.select("family", "node", "text").mapInArrow(sets, "family long, node long, shingles binary")
+    return materialize(shingles.repartition("family").sortWithinPartitions("family", "node").mapInArrow(grow, "node long, root long"), "near-groups")
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
     """node, doc_id, component_id, kept: near-duplicates by the Jaccard similarity of word shingles.
 
     node is a hash of doc_id and text, so repeated rows are one document. Pairs within ``radius`` bits of
-    their word fingerprints are proposed by covering masks and then verified on sketches of whole texts. component_id
+    their word fingerprints are proposed by covering masks and then verified on whole texts. component_id
     is the smallest doc_id of the group, and the document that has it is kept (of several, one).
     """
     rows = docs.select(node_id().alias("node"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
@@ -280,13 +331,14 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, r
                 if max(len(p), len(q)) >= SKETCH:  # past the shorter list's end the union is not known
                     either = either[:SKETCH]
                     both = both[both <= either[-1]]
-                ok[i] = len(both) >= similarity * len(either)
+                ok[i] = len(both) >= (similarity - SURE) * len(either)
             yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["u", "v"])
 
     a = marked.select(F.col("node").alias("u"), F.col("sketch").alias("a"))
     z = marked.select(F.col("node").alias("v"), F.col("sketch").alias("z"))
     edges = pairs.join(a, "u").join(z, "v").select("u", "v", "a", "z").mapInArrow(verify, "u long, v long")
-    linked = marked.select("node", "doc_id").join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    groups = _whole_groups(rows, components(edges), shingle, similarity)
+    linked = marked.select("node", "doc_id").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
     return linked.join(best, "root").select("node", "doc_id", F.col("best.doc_id").alias("component_id"), (F.col("node") == F.col("best.node")).alias("kept"))
 

@@ -507,3 +507,38 @@ def test_similar_groups(spark, odd):
     kept = simhash.drop_similar(docs(spark, odd))
     assert kept.columns == docs(spark, odd).columns and 0 < kept.count() < len(odd)
     assert simhash.drop_similar(docs(spark, odd).limit(0)).count() == 0
+
+
+def _brute_groups(rows):
+    root = list(range(len(rows)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if find(i) != find(j) and _jaccard(rows[i][1], rows[j][1]) >= 0.8:
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
+
+
+def test_similar_groups_near_the_line(spark):
+    rnd = random.Random(13)
+    rows = []
+    for g in range(40):  # texts far longer than a sketch, similarities from about 0.77 to 0.83
+        base = [f"v{rnd.randrange(5000)}" for _ in range(700)]
+        copy = base[:]
+        for at in rnd.sample(range(3, 690, 7), rnd.randint(13, 18)):
+            copy[at] = f"c{at}"
+        rows += [(2 * g, " ".join(base), "s"), (2 * g + 1, " ".join(copy), "s")]
+    want = _brute_groups(rows)
+    assert 10 < sum(a != b for a, b in want.items()) < 35
+    pairs = [np.unique(simhash.shingle_set(t.encode(), 5)) for _, t, _ in rows]
+    assert all((simhash.group_sets(pairs[i : i + 2], 0.8) == [0, 0]) == (want[i + 1] == i) for i in range(0, 80, 2))
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs(spark, rows)).collect()}
+    fp = [simhash.fingerprint(t.encode(), 1) for _, t, _ in rows]
+    proposed = [i for i in range(0, 80, 2) if bin(fp[i] ^ fp[i + 1]).count("1") <= 4]
+    assert len(proposed) > 20 and all(got[i + 1] == want[i + 1] for i in proposed)
