@@ -7,6 +7,8 @@ all, so two fingerprints at distance r or less agree in what some table sees: no
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -190,18 +192,24 @@ def drop_near(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
 
 # --- near-duplicates by shingle similarity -----------------------------------------------------------
 #
-# Fingerprints of single words move little when a few words change: of pairs with a five-word shingle
-# similarity of 0.8 or more, 97.6 % lay within 4 of 64 bits (sf0.1), against 4 % for four-word shingles.
-# They propose pairs; those whose SKETCH smallest shingle hashes are within SURE of the line make families,
-# and in each family the texts' whole shingle sets decide.
+# Pairs meet in bands of two minimum hashes of their five-word shingles: one of similarity s shares a band
+# with probability s**2, so that all bands miss it with MISSED at most. In a bucket, pairs whose minimum
+# hashes agree often enough make families; in each family the texts' whole shingle sets decide.
+
+#: Largest probability that bands, or the count of equal minimum hashes, miss a pair at the line.
+MISSED = 1e-10
+
 
-SKETCH = 128
+def band_count(similarity: float) -> int:
+    return 1 if similarity >= 1 else math.ceil(math.log(MISSED) / math.log(1 - similarity**2))
 
-#: Over eight standard errors of a sketch at 0.8: a pair that is this far below the line is none.
-SURE = 0.3
 
-#: Buckets of up to this many rows propose all their pairs, larger ones a spanning forest.
-ALL_PAIRS = 8
+def least_equal(hashes: int, similarity: float) -> int:
+    """The largest count that a pair at the line reaches but for MISSED, of so many minimum hashes."""
+    below, k = 0.0, 0
+    while k < hashes and (below := below + math.comb(hashes, k) * similarity**k * (1 - similarity) ** (hashes - k)) <= MISSED:
+        k += 1
+    return k
 
 
 def shingle_set(text: bytes, shingle: int) -> np.ndarray:
@@ -217,14 +225,28 @@ def shingle_set(text: bytes, shingle: int) -> np.ndarray:
     return np.unique(np.fromiter((h(joined[i:j], 7) for i, j in zip(starts, stops)), np.uint64, n))
 
 
-def _forest_pairs(fps: np.ndarray, nodes: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """Pairs of a spanning forest of the links, its trees grown from the first nodes in the given order."""
-    out, left = [], np.arange(len(fps))
+def minimum_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The minima of ``n`` rearrangements of the hashes."""
+    draw = np.random.default_rng(5).integers(0, 1 << 64, (2, n, 1), np.uint64)
+    x = (hashes ^ draw[0]) * (draw[1] | np.uint64(1))
+    x ^= x >> np.uint64(32)
+    return (x * np.uint64(0x9E3779B97F4A7C15)).min(axis=1)
+
+
+def _band_keys(least: np.ndarray) -> np.ndarray:
+    x = (least[0::2] * np.uint64(0xD6E8FEB86659FD93)) ^ (least[1::2] + np.arange(len(least) // 2, dtype=np.uint64))
+    x ^= x >> np.uint64(32)
+    return (x * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def _forest_pairs(marks: np.ndarray, nodes: np.ndarray, need: int) -> list[tuple[int, int]]:
+    """Pairs of a spanning forest of the rows that have ``need`` or more equal marks."""
+    out, left = [], np.arange(len(nodes))
     while len(left):
         todo, left = [left[0]], left[1:]
         while todo and len(left):
-            u = todo.pop(0)
-            near = np.bitwise_count(fps[left] ^ fps[u]) <= radius
+            u = todo.pop()
+            near = (marks[left] == marks[u]).sum(axis=1) >= need
             if near.any():
                 hit = left[near]
                 out += [(nodes[u], v) for v in nodes[hit].tolist()]
@@ -233,21 +255,37 @@ def _forest_pairs(fps: np.ndarray, nodes: np.ndarray, radius: int) -> list[tuple
     return out
 
 
-def _propose(radius: int):
+def _propose(need: int):
+    """Sorted (bucket, node, marks) rows to pairs; a bucket that goes on is held until it is whole."""
+
+    def pairs_of(parts):
+        keys, nodes, marks = (np.concatenate(x) for x in zip(*parts))
+        cuts = np.flatnonzero(np.diff(keys, prepend=~keys[0], append=~keys[-1]))
+        pairs = []
+        for i in np.flatnonzero(np.diff(cuts) > 1).tolist():
+            at = slice(cuts[i], cuts[i + 1])
+            pairs += _forest_pairs(marks[at], nodes[at], need)
+        if pairs:
+            a = np.unique(np.sort(np.array(pairs, np.int64), axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["u", "v"])
+
     def propose(batches):
-        for _, t in runs(batches, "bucket"):
-            if t.num_rows < 2:
+        held: list = []
+        for b in batches:
+            if not b.num_rows:
                 continue
-            nodes, fps = t.column("node").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
-            if len(nodes) <= ALL_PAIRS:
-                i, j = np.triu_indices(len(nodes), 1)
-                ok = np.bitwise_count(fps[i] ^ fps[j]) <= radius
-                pairs = list(zip(nodes[i[ok]].tolist(), nodes[j[ok]].tolist()))
-            else:
-                pairs = _forest_pairs(fps, nodes, radius)
-            if pairs:
-                a = np.sort(np.array(pairs, np.int64), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["u", "v"])
+            keys, nodes = b.column(0).to_numpy(), b.column(1).to_numpy()
+            marks = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(keys), -1)
+            last = int(np.searchsorted(keys, keys[-1]))
+            if held and keys[0] != held[0][0][-1]:
+                yield from pairs_of(held)
+                held = []
+            if last:
+                yield from pairs_of([*held, (keys[:last], nodes[:last], marks[:last])])
+                held = []
+            held.append((keys[last:], nodes[last:], marks[last:]))
+        if held:
+            yield from pairs_of(held)
 
     return propose
 
@@ -300,43 +338,26 @@ def _whole_groups(rows: DataFrame, families: DataFrame, shingle: int, similarity
     return materialize(shingles.repartition("family").sortWithinPartitions("family", "node").mapInArrow(grow, "node long, root long"), "near-groups")
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """node, doc_id, component_id, kept: near-duplicates by the Jaccard similarity of word shingles.
 
-    node is a hash of doc_id and text, so repeated rows are one document. Pairs within ``radius`` bits of
-    their word fingerprints are proposed by covering masks and then verified on whole texts. component_id
+    node is a hash of doc_id and text, so repeated rows are one document. Pairs that share a band of
+    minimum hashes are proposed and then verified on whole texts. component_id
     is the smallest doc_id of the group, and the document that has it is kept (of several, one).
     """
     rows = docs.select(node_id().alias("node"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
+    n = 2 * band_count(similarity)
 
     def mark(batches):
         for b in batches:
-            texts = [t.as_py() for t in b.column(2)]
-            fp = np.fromiter((fingerprint(t, 1) for t in texts), np.uint64, len(texts))
-            low = [(shingle_set(t, shingle)[:SKETCH] >> np.uint64(32)).astype(np.uint32).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp.view(np.int64)), pa.array(low, pa.binary())], ["node", "doc_id", "fp", "sketch"])
-
-    marked = materialize(rows.mapInArrow(mark, "node long, doc_id long, fp long, sketch binary").dropDuplicates(["node"]), "word-fingerprints")
-    tables = F.array(*[F.struct(F.lit(i).alias("t"), F.lit(m).cast("long").alias("m")) for i, m in enumerate(covering_masks(radius))])
-    keyed = marked.withColumn("x", F.explode(tables)).select(F.xxhash64(F.col("x.t"), F.col("fp").bitwiseAND(F.col("x.m"))).alias("bucket"), "node", "fp")
-    dealt = keyed.repartition("bucket").sortWithinPartitions("bucket", "node")
-    pairs = materialize(dealt.mapInArrow(_propose(radius), "u long, v long").distinct(), "proposed")
-
-    def verify(batches):
-        for b in batches:
-            ok = np.zeros(b.num_rows, bool)
-            for i, (x, y) in enumerate(zip(b.column(2), b.column(3))):
-                p, q = np.frombuffer(x.as_py(), np.uint32), np.frombuffer(y.as_py(), np.uint32)
-                both, either = np.intersect1d(p, q), np.union1d(p, q)
-                if max(len(p), len(q)) >= SKETCH:  # past the shorter list's end the union is not known
-                    either = either[:SKETCH]
-                    both = both[both <= either[-1]]
-                ok[i] = len(both) >= (similarity - SURE) * len(either)
-            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(ok)), b.column(1).filter(pa.array(ok))], ["u", "v"])
-
-    a = marked.select(F.col("node").alias("u"), F.col("sketch").alias("a"))
-    z = marked.select(F.col("node").alias("v"), F.col("sketch").alias("z"))
-    edges = pairs.join(a, "u").join(z, "v").select("u", "v", "a", "z").mapInArrow(verify, "u long, v long")
+            least = np.array([minimum_hashes(shingle_set(t.as_py(), shingle), n) for t in b.column(2)], np.uint64).reshape(-1, n)
+            keys = [_band_keys(x) for x in least]
+            marks = [x.tobytes() for x in (least >> np.uint64(20)).astype(np.uint8)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["node", "doc_id", "buckets", "marks"])
+
+    marked = materialize(rows.mapInArrow(mark, "node long, doc_id long, buckets array<long>, marks binary").dropDuplicates(["node"]), "minimum-hashes")
+    dealt = marked.select(F.explode("buckets").alias("bucket"), "node", "marks").repartition("bucket").sortWithinPartitions("bucket", "node")
+    edges = dealt.mapInArrow(_propose(least_equal(n, similarity)), "u long, v long").distinct()
     groups = _whole_groups(rows, components(edges), shingle, similarity)
     linked = marked.select("node", "doc_id").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
@@ -347,7 +368,7 @@ def node_id():
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.coalesce(F.col("text"), F.lit("")))
 
 
-def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = 4) -> DataFrame:
+def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of ``docs`` that ``similar_groups`` keeps, with their columns."""
-    drop = similar_groups(docs, shingle, similarity, radius).where("NOT kept").select(F.col("node").alias("__node"))
+    drop = similar_groups(docs, shingle, similarity).where("NOT kept").select(F.col("node").alias("__node"))
     return docs.withColumn("__key", node_id()).join(drop, F.col("__key") == F.col("__node"), "left_anti").select(*docs.columns)

@@ -542,3 +542,33 @@ def test_similar_groups_near_the_line(spark):
     fp = [simhash.fingerprint(t.encode(), 1) for _, t, _ in rows]
     proposed = [i for i in range(0, 80, 2) if bin(fp[i] ^ fp[i + 1]).count("1") <= 4]
     assert len(proposed) > 20 and all(got[i + 1] == want[i + 1] for i in proposed)
+
+
+def test_similar_groups_of_same_words(spark):
+    rnd = random.Random(14)
+    vocab, rows = [f"w{i}" for i in range(120)], []
+    for g in range(30):  # all have the same words, so the same word fingerprint
+        base = rnd.sample(vocab, len(vocab))
+        copy = base[:]
+        at = rnd.randrange(5, 110)
+        copy[at], copy[at + 1] = copy[at + 1], copy[at]
+        rows += [(2 * g, " ".join(base), "s"), (2 * g + 1, " ".join(copy), "s")]
+    for c in range(20):  # a chain whose ends are not similar
+        rows.append((100 + c, " ".join(f"x{i}" for i in range(10 * c, 10 * c + 150)), "s"))
+    want = _brute_groups(rows)
+    assert sum(a != b for a, b in want.items()) == 49
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs(spark, rows)).collect()}
+    assert got == want
+
+
+def test_minimum_hashes_meet():
+    rnd = random.Random(15)
+    bands = simhash.band_count(0.8)
+    need = simhash.least_equal(2 * bands, 0.8)
+    equal = []
+    for _ in range(500):  # 80 hashes of 100 in both
+        h = np.array([rnd.getrandbits(64) for _ in range(100)], np.uint64)
+        a, b = (simhash.minimum_hashes(x, 2 * bands) for x in (h[:90], np.concatenate([h[:80], h[90:]])))
+        equal.append(int((a == b).sum()))
+        assert set(simhash._band_keys(a).tolist()) & set(simhash._band_keys(b).tolist()) and equal[-1] >= need
+    assert abs(np.mean(equal) / (2 * bands) - 0.8) < 0.01
