@@ -220,3 +220,27 @@ def _dp(q, s):
             t = 0 if i == j == 0 else h[i - 1][j - 1] + (q[i - 1] != s[j - 1]) * (align.MATCH + align.MISMATCH) if i and j else inf
             h[i][j] = min(t, i_[i][j], d[i][j])
     return h[n][m]
+
+
+def test_repeated_loci():
+    import random
+
+    from lichenmill.operators import align
+
+    rnd = random.Random(3)
+    text = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    read = text(150)
+    worse = read[:70] + ("A" if read[70] != "A" else "C") + read[71:]
+    subject = text(300) + read + text(300) + worse + text(300) + align.reverse_complement(read) + text(300)
+    index = align.Index([("s", subject)], 21, 11)
+    found = align.align_read(index, read)
+    assert [(a["position"], a["reverse"], a["nm"]) for a in found] == [(301, False, 0), (1201, True, 0), (751, False, 1)]
+    rows = align._single("r", found)
+    assert [r["flags"] for r in rows] == [0, 0x110, 0x100] and rows[0]["mapq"] == 0 and rows[0]["tag_xs"] == 300
+    only = align._single("r", align.align_read(index, read, max_secondary=0))
+    assert len(only) == 1 and only[0]["tag_xs"] == 300 and only[0]["mapq"] == 0
+    # the best subject has fewer seeds than many others
+    many = [(f"m{i}", text(40) + read[:100] + text(90)) for i in range(9)]
+    spread = "".join(c if i % 23 or not i else "ACGT"[("ACGT".index(c) + 1) % 4] for i, c in enumerate(read))
+    found = align.align_read(align.Index([*many, ("best", text(40) + spread + text(40))], 15, 5), read, max_secondary=0)
+    assert found[0]["reference"] == "best"
