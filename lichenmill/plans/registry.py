@@ -546,7 +546,9 @@ def _minimizer_set(spark, sf):
 
 @query("t8_strand_minimizers")
 def _strand(spark, sf):
-    return minimizers.extract_strand_minimizers(spark, _bases(spark, sf), 16, 8).select("read_id", F.size("fwd_hashes").alias("n_fwd"), F.size("rc_positions").alias("n_rc"))
+    letters = F.upper(F.regexp_replace("text", "[^ACGTacgt]", "")).alias("sequence1")
+    whole = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("read_id"), letters)
+    return minimizers.extract_strand_minimizers(spark, whole, 16, 8).select("read_id", F.size("fwd_hashes").alias("n_fwd"), F.size("rc_positions").alias("n_rc"))
 
 
 @query("t6_classify")

@@ -244,3 +244,17 @@ def test_repeated_loci():
     spread = "".join(c if i % 23 or not i else "ACGT"[("ACGT".index(c) + 1) % 4] for i, c in enumerate(read))
     found = align.align_read(align.Index([*many, ("best", text(40) + spread + text(40))], 15, 5), read, max_secondary=0)
     assert found[0]["reference"] == "best"
+
+
+def test_strand_minimizers_read_whole_texts(spark, tmp_path):
+    import random
+
+    from lichenmill.operators import minimizers
+    from lichenmill.plans import registry
+
+    rnd = random.Random(4)
+    text = "-" * 400 + "".join(rnd.choice("ACGT") for _ in range(3000))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    row = registry.queries()["t8_strand_minimizers"](spark, str(tmp_path)).first()
+    want = [len(minimizers.minimizers(x, 16, 8)[0]) for x in (text[400:].encode(), minimizers.reverse_complement(text[400:].encode()))]
+    assert [row.n_fwd, row.n_rc] == want and min(want) > 300
