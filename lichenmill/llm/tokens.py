@@ -251,7 +251,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie")
 
     def write(batches):
-        enc = encoder(tokenizer)
+        enc = encoder(tokenizer, SORTED_CACHE_CHUNKS)
         width = "<u2" if max(enc.vocab, end_id + 1) <= 65536 else "<u4"
         p = TaskContext.get().partitionId()
         sinks = None

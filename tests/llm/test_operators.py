@@ -572,3 +572,8 @@ def test_minimum_hashes_meet():
         equal.append(int((a == b).sum()))
         assert set(simhash._band_keys(a).tolist()) & set(simhash._band_keys(b).tolist()) and equal[-1] >= need
     assert abs(np.mean(equal) / (2 * bands) - 0.8) < 0.01
+
+
+def test_token_files_take_the_smaller_cache():
+    inner = [c for c in tokens.write_token_files.__code__.co_consts if hasattr(c, "co_names")]
+    assert any("SORTED_CACHE_CHUNKS" in c.co_names for c in inner)
