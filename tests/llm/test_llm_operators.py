@@ -331,18 +331,57 @@ def test_quality(spark):
     assert quality.classify(d.limit(0), labels)[0].count() == 0
 
 
-def test_quality_weights_by_brute_force(spark):
-    texts = ["abcabc", "xyz", "", "ab", "é好", "ab ab\tab c"]
+def _grams(text):
+    """Buckets of a text's n-grams, one by one."""
+    b = (text or "").encode()
+    codes = [(((b[i] | b[i + 1] << 8 | b[i + 2] << 16) * 2654435761) % 2**32) >> 16 for i in range(len(b) - 2)]
+    h = [int(maxent.word_hashes(np.frombuffer(w, np.uint8))[1][0]) for w in WORD.findall(b)]
+    return codes + [quality.GRAMS + ((x * 0xA24BAED4963EE407 + y) * 0x9FB21C651E98DF25 % 2**64 >> 48) for x, y in zip(h, h[1:])]
+
+
+ODD_TEXTS = ["abcabc", "xyz", "", "ab", "é好", "ab ab\tab c", None, "a  b \n", " ".join(["lo", "rem"] * 400) + "x" * 900 + " " + "ip sum\n" * 300]
+
+
+@pytest.mark.parametrize("block", [1 << 19, 256])
+def test_quality_weights_by_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(quality, "BLOCK", block)
+    import pyarrow as pa
+
+    got = [[] for _ in ODD_TEXTS]
+    for rows, codes in quality.grams(pa.array([t and t.encode() for t in ODD_TEXTS], pa.binary())):
+        for r, c in zip(rows.tolist(), codes.tolist()):
+            got[r].append(c)
+    assert [sorted(g) for g in got] == [sorted(_grams(t)) for t in ODD_TEXTS]
     model = quality.QualityModel(spark, np.arange(quality.FEATURES) / 1000)
-    rows = model.scored(make(spark, [(i, t, "s") for i, t in enumerate(texts)])).collect()
-    for r in rows:
-        b = r.text.encode()
-        codes = [(((b[i] | b[i + 1] << 8 | b[i + 2] << 16) * 2654435761) % 2**32) >> 16 for i in range(len(b) - 2)]
-        if codes:
-            w = b.split()
-            codes += [quality.GRAMS + (x == y) for x, y in zip(w, w[1:])]
-        want = quality.TEMPERATURE * sum(np.float32(c / 1000) for c in codes) / max(1, len(codes))
-        assert abs(r["__weight"] - want) < 1e-3 * max(1, abs(want))
+    for r in model.scored(make(spark, [(i, t, "s") for i, t in enumerate(ODD_TEXTS)])).collect():
+        want = sum(float(np.float32(c / 1000)) for c in _grams(r.text))
+        assert abs(r["__weight"] - want) < 1e-6 * max(1, abs(want))
+
+
+def test_quality_models_by_brute_force(spark, odd):
+    d = docs(spark, odd).select(F.coalesce("text", F.lit("")).cast("binary").alias("text"), (F.coalesce("doc_id", F.lit(1)) % 2 == 0).alias("good"))
+    got = {(r.part, r.bucket): r.n for r in quality.ngram_counts(d).collect()}
+    want: Counter = Counter()
+    for i, t, _ in odd:
+        for k in (0, 1) if i is not None and i % 2 == 0 else (0,):
+            want.update((k, c) for c in _grams(t))
+    assert got == want
+    ratio = quality.log_ratios(np.array([10.0, 80, 0]), np.array([8.0, 1, 0]))
+    assert ratio[0] > 0 > ratio[1] and abs(ratio[2]) < 1e-9 + abs(np.log(6 / 15))
+
+
+def test_gumbel_draws_near_the_level(spark):
+    rnd = random.Random(21)
+    rows = [(i, " ".join(rnd.choice("good bad fine poor".split()) for _ in range(6)), "s") for i in range(400)]
+    labels = spark.createDataFrame([(i, int(t.count("good") + t.count("fine") >= 3)) for i, t, _ in rows[:300]], "doc_id long, quality int")
+    d = make(spark, rows)
+    got = quality.classify(d, labels)[0].collect()
+    n = sum(r.kept for r in got)
+    plain = sorted((r.log_weight for r in got), reverse=True)[n - 1]
+    moved = [r for r in got if r.kept != (r.log_weight >= plain)]
+    assert 0 < n < 400 and moved and all(abs(r.log_weight - plain) < 12 for r in moved)
+    least = min(r.gumbel_key for r in got if r.kept)
+    assert all(r.kept == (r.gumbel_key >= least) for r in got) and [r.kept for r in quality.classify(d, labels)[0].orderBy("doc_id").collect()] == [r.kept for r in sorted(got, key=lambda r: r.doc_id)]
 
 
 def test_kth_largest(spark):
