@@ -4,6 +4,7 @@ from __future__ import annotations
 
 _WS = r"[^\x20\x09-\x0D]+"
 
+#: Of equal rows of documents, DuckDB and the operator may give the slots in another order.
 OP1 = rf"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WS}'))::BIGINT AS size,
@@ -17,12 +18,27 @@ level AS (
 water AS (SELECT *, arg_min(lv, ratio) FILTER (lv < ratio) OVER () AS wl FROM level),
 targets AS (SELECT source, source_size, CASE WHEN wl IS NULL THEN cap ELSE least(cap, wl * w) END AS target FROM water),
 placed AS (
-  SELECT s.doc_id, s.size, t.source_size, t.target,
+  SELECT s.doc_id, s.source, s.size, t.source_size, t.target,
          sum(s.size) OVER (PARTITION BY s.source ORDER BY s.k, s.doc_id ROWS UNBOUNDED PRECEDING) - s.size AS start
-  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-  (sum(greatest(0, least(size, floor(target) - e * source_size - start))))::BIGINT AS taken
-FROM placed, (VALUES (0), (1), (2)) AS epochs(e) GROUP BY doc_id, size, source_size, target
+  FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+taken AS (
+  SELECT doc_id, source, start, size, source_size, target,
+    (sum(greatest(0, least(size, floor(target) - e * source_size - start))))::BIGINT AS taken
+  FROM placed, (VALUES (0), (1), (2)) AS epochs(e) GROUP BY doc_id, source, start, size, source_size, target),
+need AS (
+  SELECT source, sum(target) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) / sum(target) OVER () AS hi,
+    (sum(target) OVER (ORDER BY source NULLS LAST ROWS UNBOUNDED PRECEDING) - target) / sum(target) OVER () AS lo,
+    (floor(floor(target) / greatest(source_size, 1)) * ceil(source_size / 4096.0)
+     + ceil((floor(target) - floor(floor(target) / greatest(source_size, 1)) * greatest(source_size, 1)) / 4096.0))::BIGINT AS slots FROM targets),
+points AS (SELECT i AS slot, (i * 2654435769 % 4294967296) / 4294967296.0::DOUBLE AS x FROM range((SELECT sum(slots)::BIGINT FROM need)) r(i)),
+hits AS (SELECT source, slot, slots, row_number() OVER (PARTITION BY source ORDER BY slot) - 1 AS rank FROM points JOIN need ON x >= lo AND x < hi AND slots > 0),
+got AS (SELECT n.source, n.slots, count(h.slot) AS got FROM need n LEFT JOIN hits h ON n.source IS NOT DISTINCT FROM h.source GROUP BY ALL),
+late AS (SELECT source, unnest(range(got, slots)) AS rank FROM got WHERE got < slots),
+filled AS (
+  SELECT source, rank, slot FROM hits WHERE rank < slots
+  UNION ALL SELECT source, rank, (SELECT sum(slots) FROM need)::BIGINT + row_number() OVER (ORDER BY source NULLS LAST, rank) - 1 FROM late)
+SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN slot END AS first_slot
+FROM taken t LEFT JOIN filled f ON t.source IS NOT DISTINCT FROM f.source AND f.rank = t.start // 4096
 """
 
 OP7 = """

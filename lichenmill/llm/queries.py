@@ -23,7 +23,7 @@ def _table(spark, sf_dir, name):
 
 
 def op1_mixing(spark, sf_dir):
-    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "first_slot")
 
 
 def op2_token_files(spark, sf_dir):

@@ -84,10 +84,46 @@ def test_mixing_texts(spark, odd):
     assert all(made[r.source] == r.n for r in took)
 
 
-def test_schedule_is_low_discrepancy(spark):
-    t = spark.createDataFrame([(0, 600_000, 500_000.0), (1, 600_000, 300_000.0), (2, 600_000, 200_000.0)], "source_no int, source_size long, target double")
-    s = mixing.schedule(t, 1000, 1000).groupBy("source_no").agg(F.count("*").alias("n"), F.min("slot_rank").alias("a"), F.max("slot_rank").alias("z")).orderBy("source_no").collect()
-    assert [tuple(r) for r in s] == [(0, 500, 0, 499), (1, 300, 0, 299), (2, 200, 0, 199)]
+def _golden(n):
+    return [(i * 2654435769 % 2**32) / 2**32 for i in range(n)]
+
+
+def test_schedule_is_the_golden_sequence(spark):
+    share = [0.5, 0.3, 0.2]
+    t = spark.createDataFrame([(k, 600_000, s * 1_000_000) for k, s in enumerate(share)], "source_no int, source_size long, target double")
+    rows = sorted((r.slot, r.source_no, r.slot_rank) for r in mixing.schedule(t, 1000).collect())
+    assert [sorted(x for _, k, x in rows if k == n) for n in range(3)] == [list(range(n)) for n in (500, 300, 200)]
+    for n in range(3):  # slots are the order of a source's ranks
+        assert [x for _, k, x in rows if k == n] == sorted(x for _, k, x in rows if k == n)
+    want = {i: next(k for k in range(3) if x < sum(share[: k + 1]) + 1e-12) for i, x in enumerate(_golden(1000))}
+    held = {i: k for i, k, _ in rows if i < 1000}
+    assert len(held) >= 990 and all(want[i] == k for i, k in held.items())
+    for upto in (10, 50, 200, 700):  # every stretch has the sources' shares
+        for n in range(3):
+            assert abs(sum(k == n for i, k in held.items() if i < upto) - share[n] * upto) <= 3
+
+
+def test_points_stay_exact_beyond_32_bits(spark):
+    slots = [0, 1, 65535, 65536, 2**31 + 7, 2**32 - 1, 2**32 + 5, 2**40 + 12345]
+    got = spark.createDataFrame([(x,) for x in slots], "slot long").select("slot", mixing.point(F.col("slot")).alias("x")).collect()
+    assert all(r.x == (r.slot * 2654435769 % 2**32) / 2**32 for r in got)
+
+
+def test_mix_follows_its_slots(spark):
+    rows = [(i, " ".join([f"w{i}"] * 40), "abc"[i % 3]) for i in range(300)]
+    d = make(spark, rows).repartition(3)
+    m = mixing.mix(d, weights=(5, 2, 1), block_words=80)
+    at = {r.doc_id: r.starts for r in m.collect()}
+    out = [r.doc_id for r in mixing.take_texts(d, m).collect()]
+    assert Counter(out) == {i: len(s) for i, s in at.items() if s}
+    met: Counter = Counter()
+    slots = []
+    for i in out:
+        slots.append(at[i][met[i]])
+        met[i] += 1
+    assert slots == sorted(slots)
+    head = Counter("abc"[i % 3] for i in out[:60])
+    assert abs(head["a"] - 37.5) <= 6 and abs(head["b"] - 15) <= 6 and abs(head["c"] - 7.5) <= 6
 
 
 def _library(name, texts):
