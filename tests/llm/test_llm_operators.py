@@ -515,26 +515,39 @@ def test_chat(spark):
             rows.append((c, t, rnd.choice(["user", "assistant", "system", "<|im_end|>", None]), rnd.choice(HARD)))
     rows += [(None, 0, "assistant", "x"), (50, 0, "user", "a"), (50, 0, "assistant", "b"), (50, None, "user", "c"), (51, 1, "assistant", "r"), (51, 1, "assistant", "r")]
     df = spark.createDataFrame([(*r, 1, "z") for r in rows], "conv_id long, turn long, role string, text string, example int, body string").repartition(3)
+    rows += [(None, 3, "user", "y")]
+    df = df.unionByName(spark.createDataFrame([(None, 3, "user", "y", 1, "z")], df.schema))
     made = chat.format_examples(df)
-    got = {r.conv_id: r for r in chat.read_back(made).collect()}
+    got: dict = {}
+    for r in chat.read_back(made).collect():
+        got.setdefault(r.conv_id, []).append(r)
     by: dict = {}
     for c, t, r, x in rows:
         by.setdefault(c, []).append((t is not None, t or 0, r or "", x or ""))
-    assert set(got) == set(by)
+    assert set(got) == set(by) and sorted((r.n_turns, r.loss_chars) for r in got.pop(None)) == [(1, 0), (1, 1)]
+    by.pop(None)
+    examples: dict = {}
+    for r in made.where("conv_id is not null").orderBy("conv_id", "example").collect():
+        examples.setdefault(r.conv_id, []).append(r)
+    escaped = lambda x: x.replace("\\", "\\\\").replace("<|", "<\\|")
     for c, turns in by.items():
         turns.sort()
         said = "".join(f"{r}\n{x}\n" for *_, r, x in turns)
         loss = "".join(x for *_, r, x in turns if r == "assistant")
-        g = got[c]
+        (g,) = got[c]
         assert (g.n_turns, g.turns_sha256) == (len(turns), hashlib.sha256(said.encode()).hexdigest())
         assert (g.loss_chars, g.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert g.n_examples == sum(r == "assistant" for *_, r, _ in turns)
-    for r in chat.render(made.where("conv_id < 5")).collect():
-        turns = by[r.conv_id]
-        reply = r.text[r.loss_start : r.loss_start + r.loss_length]
-        n = [i for i, t in enumerate(turns) if t[2] == "assistant"][r.example]
-        assert reply.replace("<\\|", "<|").replace("\\\\", "\\") == turns[n][3]
-        assert r.text.count(chat.START) == n + 1 and r.text.endswith(chat.END)
+        # every reply is an example of its own, with all turns before it written out
+        ends = [i for i, t in enumerate(turns) if t[2] == "assistant"]
+        whole = ["".join(chat.START + escaped(r) + chat.MIDDLE + escaped(x) + chat.END for *_, r, x in turns[: i + 1]) for i in range(len(turns))]
+        want = [(whole[i], True, escaped(turns[i][3])) for i in ends] + ([(whole[-1], False, "")] if not ends or ends[-1] < len(turns) - 1 else [])
+        assert [(e.text, e.trainable, e.text[e.loss_start or 0 :][: e.loss_length]) for e in examples[c]] == want
+        assert all(e.text[e.loss_start :] == reply + chat.END for e, (_, t, reply) in zip(examples[c], want) if t)
+        assert g.formatted_chars == sum(len(w) for w, *_ in want)
+    lost = made.withColumn("text", F.when(F.col("example") > 0, F.substring("text", 3, 1 << 20)).otherwise(F.col("text")))
+    with pytest.raises(Exception, match="how its conversation begins"):
+        chat.read_back(lost).collect()
     assert chat.read_back(chat.format_examples(df.limit(0))).count() == 0
     plan = chat.read_back(made)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
