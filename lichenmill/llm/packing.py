@@ -2,7 +2,8 @@
 
 Documents longer than a sequence are cut into full pieces and a remainder. Pieces are dealt by a
 keyed hash into groups of bounded expected size; each group is packed on its own, so groups run in
-parallel and a lost executor costs one group.
+parallel and a lost executor costs one group. The hash takes in where a row stands in its table, so
+that repeated rows are dealt like any others.
 """
 
 from __future__ import annotations
@@ -96,10 +97,11 @@ def pack(parts: DataFrame, sequence: int = SEQUENCE, group_pieces: int = GROUP_P
     """Adds sequence_id, offset, sequence_tokens and padded_length to rows with doc_id, start, length.
 
     A sequence is padded to ``sequence`` unless its tokens are a power of two. Repeated rows are
-    packed as pieces of their own; no rows give no rows.
+    packed as pieces of their own; no rows give no rows. ``parts`` should be a written table: a row's
+    group comes from its place there, and places that changed between two attempts could lose rows.
     """
     groups = max(1, round(parts.count() / group_pieces))
-    keyed = parts.withColumn("__group", F.pmod(F.xxhash64(F.lit(seed), *[c for c in ("doc_id", "start", "ids_crc32") if c in parts.columns]), F.lit(groups)))
+    keyed = parts.withColumn("__group", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     # order within a group is fixed, so a rerun packs alike
     keyed = keyed.repartition("__group").sortWithinPartitions("__group", "doc_id", "start", "length", "ids_crc32")
     schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in parts.schema)}, sequence_id long, offset long, sequence_tokens long, padded_length long"
