@@ -1,9 +1,9 @@
 """Secret scans with corpus-wide ownership, in DataFrame functions only.
 
 Candidates are found by patterns in every whole text. Their values are hashed and aggregated over
-the corpus by distinct owner (source) and repository (document): a value that many owners share is
-a copied example, one of few owners looks live. Owner-specific values that mix letters and digits
-are added as spans of kind ``owned``.
+the corpus by distinct owner (source) and repository (document): a value that many owners share, or
+that one owner has in very many repositories, is a copied example; one of few owners and few
+repositories looks live. Such values that mix letters and digits are added as spans of kind ``owned``.
 """
 
 from __future__ import annotations
@@ -71,12 +71,18 @@ def ownership(found: DataFrame) -> DataFrame:
     )
 
 
-def scan_secrets(docs: DataFrame, most_owners: int = 2) -> DataFrame:
+#: A value in more distinct sources, or in more documents, is a copied example.
+OWNERS, REPOSITORIES = 2, 8
+
+
+def scan_secrets(docs: DataFrame, most_owners: int = OWNERS, most_repositories: int = REPOSITORIES) -> DataFrame:
     """doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_owned, n_live, n_copied for every row.
 
-    Base spans always stay; an ``owned`` span is added where no base span holds it and at most
-    ``most_owners`` sources have its value. n_live and n_copied count all spans by that bound. A null
-    text is empty; a null source is an owner of its own; repeated rows are repositories of their own.
+    A value is live if at most ``most_owners`` sources and at most ``most_repositories`` documents have
+    it. Base spans always stay; an ``owned`` span is added where its value is live and no base span
+    holds it. n_live and n_copied count all spans by that rule. A null text is empty and has no spans;
+    a null source is an owner of its own; repeated rows are repositories of their own; no rows give no
+    rows; extra columns are ignored.
     """
     found = candidates(docs).withColumn("value_hash", F.sha2("value", 256)).drop("value")
     found = materialize(found, "secret-candidates")
@@ -84,7 +90,8 @@ def scan_secrets(docs: DataFrame, most_owners: int = 2) -> DataFrame:
     owned = materialize(ownership(found), "secret-owners")
     total = known.count()
     judged = join_counted(known, owned, "value_hash", "n_found", total)
-    span = F.struct("start", "kind", "end", (F.col("n_owners") <= most_owners).alias("live"))
+    live = (F.col("n_owners") <= most_owners) & (F.col("n_repositories") <= most_repositories)
+    span = F.struct("start", "kind", "end", live.alias("live"))
     blank = found.where("kind is null").select("uid", "doc_id", F.lit(None).cast("struct<start:bigint,kind:int,end:bigint,live:boolean>").alias("span"))
     rows = judged.select("uid", "doc_id", span.cast("struct<start:bigint,kind:int,end:bigint,live:boolean>").alias("span")).unionByName(blank)
     per = rows.groupBy("uid").agg(F.max("doc_id").alias("doc_id"), F.array_sort(F.collect_list("span")).alias("all"))

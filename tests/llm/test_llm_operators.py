@@ -192,6 +192,13 @@ def test_packing(spark, odd):
     assert packing.pack_documents(docs(spark, odd).limit(0), queries.tokenizer_path(name), 2).count() == 0
 
 
+def test_repeated_rows_are_no_hot_group(spark):
+    d = make(spark, [(1, "same text", "s")] * 900 + [(i, f"t{i}", "s") for i in range(100)]).repartition(3)
+    placed = packing.pack_documents(d, queries.tokenizer_path("word_bpe_49k.json"), 2, 16, group_pieces=100)
+    size = Counter(r.sequence_id >> 32 for r in placed.collect())
+    assert sum(size.values()) == 1000 and max(size.values()) < 200
+
+
 def test_assembled_sequences(spark):
     d = make(spark, [(i, f"a b{i} c" * (i + 1), "s") for i in range(8)])
     placed = packing.pack(packing.pieces(d, queries.tokenizer_path("word_bpe_49k.json"), 2, 16, with_ids=True).persist(), 16)
@@ -466,9 +473,18 @@ def test_secrets(spark, odd):
     assert secrets.scan_secrets(docs(spark, odd).limit(0)).count() == 0
 
 
+def test_secrets_copied_within_one_owner(spark):
+    a, b = "Zq8kLm2Nn4Pp6Rr8Tt0v", "aB3dE5fG7hJ9kL1mN3pQ"
+    rows = [(i, f"{a} in repository {i}", "s0") for i in range(6)] + [(50 + i, f"{b} {b}", "s1") for i in range(3)]
+    by = {r.doc_id: r for r in secrets.scan_secrets(make(spark, rows), most_repositories=5).collect()}
+    assert all(by[i].spans == "" for i in range(6)) and all(by[50 + i].spans == "owned:0:20,owned:21:41" for i in range(3))
+    assert all(r.n_owned == 1 for r in secrets.scan_secrets(make(spark, rows), most_repositories=6).where("doc_id < 50").collect())
+
+
 def test_secrets_run_no_python(spark, odd):
-    plan = secrets.candidates(docs(spark, odd))._jdf.queryExecution().executedPlan().toString()
-    assert not re.search("Python|Pandas|Arrow", plan)
+    for df in (secrets.candidates(docs(spark, odd)), secrets.scan_secrets(docs(spark, odd))):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert not re.search("Python|Pandas|Arrow", plan)
 
 
 def _embeddings(spark, x, extra=()):
