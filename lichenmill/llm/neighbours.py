@@ -3,8 +3,8 @@
 Equal vectors are one node. The first graph comes from exact search within short stretches of a
 few random-projection orders. Each round joins every node's neighbours (and those it is a
 neighbour of) with their vectors, compares them with one another, and keeps each node's nearest.
-A query walks the graph best first, many queries at a time, and its pool is ranked by exact
-distances of the original vectors.
+A query walks the graph best first, many queries at a time, each with a small pool of its own, and
+its pool is ranked by exact distances of the original vectors.
 """
 
 from __future__ import annotations
@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 from ._common import materialize, own_names, release, runs
 
 DEGREE, PASSES, STRETCH, ROUNDS = 24, 6, 512, 3
-POOL, EXPAND, HOPS = 600, 80, 7
+#: Nodes a query keeps, nodes it follows at each hop, and hops: it meets 2 * DEGREE * EXPAND * HOPS others at the most.
+POOL, EXPAND, HOPS = 100, 10, 4
 #: The projections' medians are fitted on this many vectors at most; every vector is indexed.
 SAMPLE = 4096
+#: Components beyond this many times the usual size are taken as that, in the graph alone.
+FAR = 1e18
 
 
 def valid_vectors(table: DataFrame) -> DataFrame:
@@ -30,9 +33,9 @@ def valid_vectors(table: DataFrame) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    """Half-precision vectors of a binary column as a float32 matrix."""
+    """Single-precision vectors of a binary column as a matrix of doubles."""
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), np.float16).reshape(len(rows), -1).astype(np.float32)
+    return np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), -1).astype(np.float64)
 
 
 def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -48,9 +51,9 @@ def _nearest(cand: DataFrame, degree: int) -> DataFrame:
 
 def _stretches(nodes: DataFrame, dim: int, degree: int, passes: int) -> DataFrame:
     """Each node's nearest within stretches of STRETCH nodes of some random orders."""
-    sample = _matrix(nodes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("half").toArrow().column("half").combine_chunks())
+    sample = _matrix(nodes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("point").toArrow().column("point").combine_chunks())
     rng = np.random.default_rng(5)
-    planes = [rng.standard_normal((dim, 12)).astype(np.float32) for _ in range(passes)]
+    planes = [rng.standard_normal((dim, 12)) for _ in range(passes)]
     shared = nodes.sparkSession.sparkContext.broadcast([(p, np.median(sample @ p, axis=0)) for p in planes])
 
     def order(batches):
@@ -59,11 +62,11 @@ def _stretches(nodes: DataFrame, dim: int, degree: int, passes: int) -> DataFram
             for k, (plane, middle) in enumerate(shared.value):
                 at = x @ plane - middle
                 code = (at > 0) @ (1 << np.arange(at.shape[1])[::-1])
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array(code.astype(np.int64)), pa.array(at[:, 0].astype(np.float64)), b.column(0), b.column(1)], ["pass", "code", "along", "node", "half"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array(code.astype(np.int64)), pa.array(at[:, 0].astype(np.float64)), b.column(0), b.column(1)], ["pass", "code", "along", "node", "point"])
 
     def search(batches):
         def nearest(t):
-            ids, x = t.column("node").to_numpy(), _matrix(t.column("half").combine_chunks())
+            ids, x = t.column("node").to_numpy(), _matrix(t.column("point").combine_chunks())
             d = _square(x, x)
             np.fill_diagonal(d, np.inf)
             k = min(degree, len(ids) - 1)
@@ -80,7 +83,7 @@ def _stretches(nodes: DataFrame, dim: int, degree: int, passes: int) -> DataFram
             for a in range(0, t.num_rows, STRETCH):
                 yield k, t.slice(a, STRETCH)
 
-    keyed = nodes.select("node", "half").mapInArrow(order, "pass int, code long, along double, node long, half binary")
+    keyed = nodes.select("node", "point").mapInArrow(order, "pass int, code long, along double, node long, point binary")
     dealt = keyed.repartitionByRange("pass", "code", "along").sortWithinPartitions("pass", "code", "along", "node")
     return dealt.mapInArrow(search, "node long, nbr long, dist float").withColumn("fresh", F.lit(True))
 
@@ -93,7 +96,7 @@ def _with_reverse(graph: DataFrame, degree: int) -> DataFrame:
 
 
 def build_graph(nodes: DataFrame, dim: int, degree: int = DEGREE, rounds: int = ROUNDS, passes: int = PASSES) -> DataFrame:
-    """node, nbr, dist (squared, of scaled vectors), fresh: the neighbour graph of ``nodes`` (node, half)."""
+    """node, nbr, dist (squared, of scaled vectors), fresh: the neighbour graph of ``nodes`` (node, point)."""
     graph = materialize(_nearest(_stretches(nodes, dim, degree, passes), degree), "graph")
 
     def compare(batches):
@@ -102,7 +105,7 @@ def build_graph(nodes: DataFrame, dim: int, degree: int = DEGREE, rounds: int =
                 continue
             t = t.slice(0, 2 * degree)
             ids, fresh, reach = (t.column(c).to_numpy() for c in ("nbr", "fresh", "reach"))
-            d = _square(x := _matrix(t.column("half").combine_chunks()), x)
+            d = _square(x := _matrix(t.column("point").combine_chunks()), x)
             ok = (fresh[:, None] | fresh[None]) & (d < reach[:, None])
             np.fill_diagonal(ok, False)
             i, j = np.nonzero(ok)
@@ -112,8 +115,8 @@ def build_graph(nodes: DataFrame, dim: int, degree: int = DEGREE, rounds: int =
     for _ in range(rounds):
         far = F.when(F.count("*") >= degree, F.max("dist")).otherwise(float("inf"))
         reach = graph.groupBy("node").agg(far.cast("float").alias("reach"))
-        known = nodes.select(F.col("node").alias("nbr"), "half").join(reach.withColumnRenamed("node", "nbr"), "nbr", "left")
-        pairs = _with_reverse(graph, degree).join(known, "nbr").select("node", "nbr", "fresh", "half", F.coalesce("reach", F.lit(float("inf"))).cast("float").alias("reach"))
+        known = nodes.select(F.col("node").alias("nbr"), "point").join(reach.withColumnRenamed("node", "nbr"), "nbr", "left")
+        pairs = _with_reverse(graph, degree).join(known, "nbr").select("node", "nbr", "fresh", "point", F.coalesce("reach", F.lit(float("inf"))).cast("float").alias("reach"))
         dealt = pairs.repartition("node").sortWithinPartitions("node", "nbr")
         found = dealt.mapInArrow(compare, "node long, nbr long, dist float").withColumn("fresh", F.lit(True))
         graph = materialize(_nearest(graph.withColumn("fresh", F.lit(False)).unionByName(found), degree), "graph")
@@ -121,56 +124,94 @@ def build_graph(nodes: DataFrame, dim: int, degree: int = DEGREE, rounds: int =
     return graph
 
 
+def _advance(pool: int, expand: int):
+    """Sorted rows of queries (their state, then the vectors met) to the queries' new states."""
+    schema = pa.schema([("query", pa.int64()), ("own", pa.binary()), ("ids", pa.list_(pa.int64())), ("dists", pa.list_(pa.float64())), ("seen", pa.list_(pa.bool_())), ("next", pa.list_(pa.int64()))])
+
+    def one(query, t):
+        own, ids, dists, seen = (t.column(c)[0].as_py() for c in ("point", "ids", "dists", "seen"))
+        ids, dists, seen = np.array(ids, np.int64), np.array(dists, np.float64), np.array(seen, bool)
+        met = t.slice(1)
+        if met.num_rows:
+            new = met.column("nbr").to_numpy()
+            x = _matrix(met.column("point").combine_chunks()) - np.frombuffer(own, np.float32).astype(np.float64)
+            fresh = ~np.isin(new, ids) & (new != query)
+            new, d = new[fresh], (x[fresh] ** 2).sum(1)
+            ids, dists, seen = np.concatenate([ids, new]), np.concatenate([dists, d]), np.concatenate([seen, np.zeros(len(new), bool)])
+        order = np.lexsort((ids, dists))[:pool]
+        ids, dists, seen = ids[order], dists[order], seen[order]
+        turn = np.flatnonzero(~seen)[:expand]
+        seen[turn] = True
+        return {"query": int(query), "own": own, "ids": ids, "dists": dists, "seen": seen, "next": ids[turn]}
+
+    def advance(batches):
+        got = []
+        for query, t in runs(batches, "query"):
+            got.append(one(query, t))
+            if len(got) >= 500:
+                yield pa.RecordBatch.from_pylist(got, schema)
+                got = []
+        if got:
+            yield pa.RecordBatch.from_pylist(got, schema)
+
+    return advance
+
+
 def search_graph(graph: DataFrame, nodes: DataFrame, queries: DataFrame, degree: int = DEGREE, pool: int = POOL, expand: int = EXPAND, hops: int = HOPS) -> DataFrame:
-    """query (a node), nbr, dist: the pool that a best-first walk from each of ``queries`` (query) has gathered."""
-    links = materialize(_with_reverse(graph, degree).select("node", "nbr"), "links")
-    halves = nodes.select(F.col("node").alias("nbr"), "half")
-    own = materialize(queries.join(nodes, queries.query == nodes.node).select("query", F.col("half").alias("own")), "query-vectors")
-    found = queries.join(graph, queries.query == graph.node).select("query", "nbr", "dist", F.lit(False).alias("seen"))
-    found = materialize(found, "pool")
-
-    def measure(batches):
-        for b in batches:
-            a, z = _matrix(b.column(2)), _matrix(b.column(3))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(((a - z) ** 2).sum(1).astype(np.float32))], ["query", "nbr", "dist"])
+    """query (a node), own, ids, dists, seen, next: the pool that a best-first walk from each of ``queries`` (query) has gathered, nearest first.
 
+    A hop follows the ``expand`` nearest nodes of each pool that it has not followed yet; the vectors
+    that it meets are joined by node, and come together with their query's state in one more shuffle.
+    """
+    spark = nodes.sparkSession
+    links = _with_reverse(graph, degree).groupBy("node").agg(F.collect_list("nbr").alias("nbrs"))  # 2 * degree at the most
+    links = materialize(links, "links")
+    points = nodes.select(F.col("node").alias("nbr"), "point")
+    begin = graph.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("dist", "nbr"))).alias("near"))
+    state = queries.join(nodes, queries.query == nodes.node).select("query", "point").join(begin, F.col("query") == begin.node, "left")
+    near = F.coalesce("near", F.array().cast("array<struct<dist:double,nbr:bigint>>"))
+    state = state.select("query", F.col("point").alias("own"), F.transform(near, lambda x: x["nbr"]).alias("ids"), F.transform(near, lambda x: x["dist"].cast("double")).alias("dists"))
+    state = state.withColumn("seen", F.transform("ids", lambda x, i: i < expand)).withColumn("next", F.slice("ids", 1, expand))
+    kinds = "query long, own binary, ids array<long>, dists array<double>, seen array<boolean>, next array<long>"
+    state = materialize(state, "walk")
     for _ in range(hops):
-        order = Window.partitionBy("query").orderBy("seen", "dist", "nbr")
-        turn = found.withColumn("rank", F.row_number().over(order)).withColumn("next", (F.col("rank") <= expand) & ~F.col("seen"))
-        turn = materialize(turn.drop("rank"), "turn")
-        steps = turn.where("next").select("query", F.col("nbr").alias("node")).join(links, "node").where("nbr <> query").select("query", "nbr").distinct()
-        steps = steps.join(turn.select("query", "nbr"), ["query", "nbr"], "left_anti")
-        pairs = steps.join(halves, "nbr").join(own, "query").select("query", "nbr", "own", "half")
-        new = pairs.mapInArrow(measure, "query long, nbr long, dist float").withColumn("seen", F.lit(False))
-        both = turn.select("query", "nbr", "dist", (F.col("seen") | F.col("next")).alias("seen")).unionByName(new)
-        best = Window.partitionBy("query").orderBy("dist", "nbr")
-        found = materialize(both.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= pool).drop("rank"), "pool")
-        release(nodes.sparkSession)
-    return found.select("query", "nbr", "dist")
+        steps = state.select("query", F.explode("next").alias("node")).join(links, "node").select("query", F.explode("nbrs").alias("nbr")).distinct()
+        met = steps.join(points, "nbr").select("query", "nbr", "point")
+        none = [F.lit(None).cast(k).alias(c) for c, k in (("ids", "array<long>"), ("dists", "array<double>"), ("seen", "array<boolean>"))]
+        both = state.select("query", F.lit(None).cast("long").alias("nbr"), F.col("own").alias("point"), "ids", "dists", "seen").unionByName(met.select("query", "nbr", "point", *none))
+        dealt = both.repartition("query").sortWithinPartitions("query", F.col("nbr").asc_nulls_first())
+        state = materialize(dealt.mapInArrow(_advance(pool, expand), kinds), "walk")
+        release(spark)
+    return state
 
 
 def nearest(table: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of every row whose vec_id is divisible by ``every``.
 
     score is the Euclidean distance of the original vectors in double precision; ties go to the smaller
-    vec_id. Vectors that ``valid_vectors`` leaves out take no part. Of equal vectors the k + 1 smallest
-    ids are kept, which is all that a result can name. Repeated vec_ids count once.
+    vec_id. Vectors that ``valid_vectors`` leaves out take no part; nor do those of another length than
+    most have (of lengths equally frequent, the longest), since no distance is defined to them. The
+    graph holds vectors in single precision, measured by the median size. Of equal vectors the k + 1
+    smallest ids are kept, which is all that a result can name. Of repeated vec_ids the least vector
+    counts. No vectors give no rows; extra columns are ignored.
     """
-    rows = materialize(valid_vectors(table).dropDuplicates(["vec_id"]), "vectors")
-    first = rows.select(F.size("vector"), F.lit(1)).limit(1).collect()
-    if not first:
+    rows = materialize(valid_vectors(table).groupBy("vec_id").agg(F.min("vector").alias("vector")), "vectors")
+    size = F.array_max(F.transform("vector", F.abs))
+    common = rows.groupBy(F.size("vector").alias("dim")).agg(F.count("*").alias("n"), F.percentile_approx(size, 0.5, 1000).alias("usual")).orderBy(F.desc("n"), F.desc("dim")).first()
+    if not common:
         return table.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    dim = first[0][0]
+    dim, scale = common.dim, float(common.usual)
     rows = rows.where(F.size("vector") == dim)
-    scale = rows.agg(F.max(F.array_max(F.transform("vector", F.abs)))).first()[0]
 
-    def halve(batches):
+    def shrink(batches):
         for b in batches:
-            x = (b.column(1).values.to_numpy(zero_copy_only=False).reshape(-1, dim) / scale).astype(np.float16)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["node", "half"])
+            with np.errstate(over="ignore"):
+                x = b.column(1).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim) / scale
+            x = np.clip(x, -FAR, FAR).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() for v in x], pa.binary())], ["node", "point"])
 
     distinct = materialize(rows.groupBy("vector").agg(F.min("vec_id").alias("node")).select("node", "vector"), "distinct-vectors")
-    nodes = materialize(distinct.mapInArrow(lambda it: halve(pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["node", "vector"]) for b in it), "node long, half binary"), "nodes")
+    nodes = materialize(distinct.mapInArrow(shrink, "node long, point binary"), "nodes")
     same = Window.partitionBy("vector").orderBy("vec_id")
     few = rows.withColumn("rank", F.row_number().over(same)).where(F.col("rank") <= k + 1)
     members = materialize(few.join(distinct, "vector").select("node", "vec_id"), "members")
@@ -179,9 +220,7 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
 
     graph = build_graph(nodes, dim)
     found = search_graph(graph, nodes, queries)
-    order = Window.partitionBy("query").orderBy("dist", "nbr")
-    short = found.withColumn("at", F.row_number().over(order)).where(F.col("at") <= 4 * k).select("query", "nbr")
-    short = short.unionByName(queries.select("query", F.col("query").alias("nbr")))
+    short = found.select("query", F.explode(F.concat(F.array("query"), F.slice("ids", 1, 4 * k))).alias("nbr"))
     a, z = distinct.select(F.col("node").alias("query"), F.col("vector").alias("a")), distinct.select(F.col("node").alias("nbr"), F.col("vector").alias("z"))
     exact = short.join(z, "nbr").join(a, "query")
     gap = F.aggregate(F.zip_with("a", "z", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
