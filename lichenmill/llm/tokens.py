@@ -17,6 +17,7 @@ from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,12 +25,12 @@ from pyspark.sql import functions as F
 from ._common import own_names, scratch
 
 #: Distinct chunks a worker keeps, twice: those met lately and those before them.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 800_000
 #: The same where the executor also sorts whole texts and has less memory to spare.
-SORTED_CACHE_CHUNKS = 200_000
+SORTED_CACHE_CHUNKS = 400_000
 #: Chunks that go to the library as one text.
 GROUP = 200
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 4_000_000
 
 
 class ChunkEncoder:
@@ -85,9 +86,6 @@ class ChunkEncoder:
 
     _twice = re.compile(r"\s\s")
     _apart = re.compile(r"[\s|]")
-    _blank = re.compile(r"[ \t\n\r\x0b\x0c]+")
-    #: White space to str.split, but perhaps not to a tokenizer.
-    _odd = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]")
 
     def _many(self, chunks: list[str], lead: str) -> list[bytes]:
         """The ids of each of ``lead`` + chunk."""
@@ -108,52 +106,62 @@ class ChunkEncoder:
         out.update(zip(rest, self._encode([lead + c for c in rest])))
         return [out[c] for c in chunks]
 
-    def _fill(self, chunks: list[str]) -> None:
-        """Put the ids of chunks not met lately into the cache; one that begins with a line break has no space before its word."""
+    def _fill(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks not met lately, put into the cache; one that begins with a line break has no space before its word."""
         if len(self.young) + len(chunks) > self.cache_chunks:
             self.young, self.old = {}, self.young
-        old, young = self.old, self.young
-        new = []
-        for c in chunks:
-            v = old.get(c)
-            if v is None:
-                new.append(c)
-            else:
-                young[c] = v
+        ids = list(map(self.old.get, chunks))
+        new = [c for c, v in zip(chunks, ids) if v is None]
         if self.mode == "byte_level":
             lines = [c[1:] for c in new if c[:1] == "\n"]
-            young.update(("\n" + c, self.mark_ids + v) for c, v in zip(lines, self._many(lines, "")))
-            new = [c for c in new if c[:1] != "\n"]
-        young.update(zip(new, self._many(new, self.lead)))
+            words = [c for c in new if c[:1] != "\n"]
+            lines, words = iter(self._many(lines, "")), iter(self._many(words, self.lead))
+            found = iter([self.mark_ids + next(lines) if c[:1] == "\n" else next(words) for c in new])
+        else:
+            found = iter(self._many(new, self.lead))
+        ids = [next(found) if v is None else v for v in ids]
+        self.young.update(zip(chunks, ids))
+        return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian uint32 bytes."""
+        """The ids of each text as little-endian uint32 bytes.
+
+        Arrow splits the texts and numbers their distinct chunks; only these are looked up or go to the
+        library, and their ids are dealt out by number.
+        """
         if self.mode == "whole":
             return self._encode(texts)
         out: list[bytes] = [b""] * len(texts)
-        flat: list[str] = []
-        spans, whole, firsts = [], [], []
-        for i, t in enumerate(texts):
-            if self.mode == "spaced":
-                chunks = self._blank.split(t) if self._odd.search(t) else t.split()
-            elif self._twice.search(t):
-                whole.append(i)
-                continue
-            else:
-                chunks = t.replace("\n", " \n").split(" ")
-                firsts.append(chunks.pop(0))
-            spans.append((i, len(flat), len(flat) + len(chunks)))
-            flat += chunks
-        ids = list(map(self.young.get, flat))
-        if None in ids:
-            self._fill(list({c for c, v in zip(flat, ids) if v is None}))
-            missed = self.young.get
-            ids = [missed(c) if v is None else v for c, v in zip(flat, ids)]
-        heads = self._many(firsts, "") if firsts else [b""] * len(spans)
-        for (i, a, z), head in zip(spans, heads):
-            out[i] = head + b"".join(ids[a:z])
+        whole = [i for i, t in enumerate(texts) if self._twice.search(t)] if self.mode == "byte_level" else []
+        apart = set(whole)
+        some = [i for i in range(len(texts)) if i not in apart]
         for i, v in zip(whole, self._encode([texts[i] for i in whole])):
             out[i] = v
+        column = pa.array([texts[i] for i in some], pa.string())
+        if self.mode == "spaced":
+            split = pc.ascii_split_whitespace(column)
+        else:
+            split = pc.split_pattern(pc.replace_substring(column, "\n", " \n"), " ")
+        at, chunks = split.offsets.to_numpy(), split.flatten()
+        coded = chunks.dictionary_encode()
+        keys = coded.dictionary.to_pylist()
+        ids = list(map(self.young.get, keys))
+        if None in ids:
+            missed = [k for k, v in zip(keys, ids) if v is None]
+            found = iter(self._fill(missed))
+            ids = [next(found) if v is None else v for v in ids]
+        ends = np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids))) // 4
+        by_key = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), np.uint32)))
+        dealt = by_key.take(coded.indices)
+        data, word_at = dealt.flatten().to_numpy().astype("<u4").tobytes(), dealt.offsets.to_numpy().astype(np.int64)
+        word_at = 4 * (word_at - word_at[0])
+        heads = [b""] * len(some)
+        if self.mode == "byte_level":  # a text's first chunk has no space before it
+            heads, starts = self._many(chunks.take(pa.array(at[:-1])).to_pylist(), ""), word_at[at[:-1] + 1]
+        else:
+            starts = word_at[at[:-1]]
+        for i, head, a, z in zip(some, heads, starts.tolist(), word_at[at[1:]].tolist()):
+            out[i] = head + data[a:z]
         return out
 
 
