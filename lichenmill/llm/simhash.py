@@ -12,7 +12,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import LOWER_BYTES, join_counted, materialize, own_names, runs
@@ -194,10 +194,14 @@ def drop_near(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
 #
 # Pairs meet in bands of two minimum hashes of their five-word shingles: one of similarity s shares a band
 # with probability s**2, so that all bands miss it with MISSED at most. In a bucket, pairs whose minimum
-# hashes agree often enough make families; in each family the texts' whole shingle sets decide.
+# hashes agree often enough make families; in each family the texts' whole shingle sets decide. (Fingerprints
+# could not propose them: at a similarity of 0.8 two of them differ in 9.7 of 64 bits on average, and covering
+# masks of such a radius are millions.)
 
 #: Largest probability that bands, or the count of equal minimum hashes, miss a pair at the line.
 MISSED = 1e-10
+#: Shingles of a family that one task holds; a larger family is dealt into blocks of about as many.
+BLOCK_SHINGLES = 1 << 20
 
 
 def band_count(similarity: float) -> int:
@@ -255,41 +259,97 @@ def _forest_pairs(marks: np.ndarray, nodes: np.ndarray, need: int) -> list[tuple
     return out
 
 
-def _propose(need: int):
-    """Sorted (bucket, node, marks) rows to pairs; a bucket that goes on is held until it is whole."""
+def _propose(need: int, most: int | None, heads: bool = False):
+    """Sorted (bucket, node, marks) rows to pairs (u, v).
+
+    A bucket that goes on is held until it is whole, or over ``most`` rows: then its rows come out again
+    (v null). With ``heads``, the first row of each tree comes out so.
+    """
+
+    def rows(pairs, again=()):
+        u, v = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
+        if again:
+            nodes, keys, marks = (np.concatenate(x) for x in zip(*again))
+            kinds = pa.array([*[None] * len(u), *(m.tobytes() for m in marks)], pa.binary())
+            columns = [np.concatenate([u, nodes]), np.concatenate([v, np.zeros(len(nodes), np.int64)]), np.concatenate([np.zeros(len(u), np.int64), keys])]
+        else:
+            columns, kinds = [u, v, np.zeros(len(u), np.int64)], pa.nulls(len(u), pa.binary())
+        blank = np.arange(len(columns[0])) >= len(u)
+        return pa.RecordBatch.from_arrays([pa.array(columns[0]), pa.array(columns[1], mask=blank), pa.array(columns[2], mask=~blank), kinds], ["u", "v", "bucket", "marks"])
 
     def pairs_of(parts):
-        keys, nodes, marks = (np.concatenate(x) for x in zip(*parts))
+        keys, origin, nodes, marks = (np.concatenate(x) for x in zip(*parts))
         cuts = np.flatnonzero(np.diff(keys, prepend=~keys[0], append=~keys[-1]))
-        pairs = []
-        for i in np.flatnonzero(np.diff(cuts) > 1).tolist():
-            at = slice(cuts[i], cuts[i + 1])
-            pairs += _forest_pairs(marks[at], nodes[at], need)
-        if pairs:
-            a = np.unique(np.sort(np.array(pairs, np.int64), axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(a[:, 0]), pa.array(a[:, 1])], ["u", "v"])
+        pairs, tops = [], []
+        for i, j in zip(cuts.tolist(), cuts[1:].tolist()):
+            mine = _forest_pairs(marks[i:j], nodes[i:j], need) if j - i > 1 else []
+            pairs += mine
+            if heads:
+                top = ~np.isin(nodes[i:j], [v for _, v in mine])
+                tops.append((nodes[i:j][top], origin[i:j][top], marks[i:j][top]))
+        pairs = sorted({(min(p), max(p)) for p in pairs})
+        if pairs or tops:
+            yield rows(pairs, tops)
 
     def propose(batches):
-        held: list = []
+        held, n_held, over = [], 0, None
         for b in batches:
             if not b.num_rows:
                 continue
-            keys, nodes = b.column(0).to_numpy(), b.column(1).to_numpy()
-            marks = np.frombuffer(b"".join(b.column(2).to_pylist()), np.uint8).reshape(len(keys), -1)
-            last = int(np.searchsorted(keys, keys[-1]))
-            if held and keys[0] != held[0][0][-1]:
+            keys, origin, nodes = (b.column(i).to_numpy() for i in range(3))
+            marks = np.frombuffer(b"".join(b.column(3).to_pylist()), np.uint8).reshape(len(keys), -1)
+            part = (keys, origin, nodes, marks)
+            if over is not None:  # the rest of an overfull bucket goes on as it comes
+                at = int(np.searchsorted(keys, over, "right"))
+                if at:
+                    yield rows([], [(nodes[:at], origin[:at], marks[:at])])
+                part = tuple(x[at:] for x in part)
+                if not len(part[0]):
+                    continue
+                over = None
+            last = int(np.searchsorted(part[0], part[0][-1]))
+            if held and part[0][0] != held[0][0][-1]:
                 yield from pairs_of(held)
-                held = []
+                held, n_held = [], 0
             if last:
-                yield from pairs_of([*held, (keys[:last], nodes[:last], marks[:last])])
-                held = []
-            held.append((keys[last:], nodes[last:], marks[last:]))
+                yield from pairs_of([*held, tuple(x[:last] for x in part)])
+                held, n_held = [], 0
+            held.append(tuple(x[last:].copy() for x in part))
+            n_held += len(part[0]) - last
+            if most and n_held > most:
+                yield rows([], [(h[2], h[1], h[3]) for h in held])
+                held, n_held, over = [], 0, part[0][-1]
         if held:
             yield from pairs_of(held)
 
     return propose
 
 
+def _proposals(dealt: DataFrame, need: int, most: int, levels: int = 3) -> DataFrame:
+    """u, v: pairs that join the rows of each bucket of ``dealt`` (bucket, node, marks) that have ``need`` equal marks, by one step or more.
+
+    An overfull bucket is dealt into parts, whose trees' first rows then stand for them in the bucket.
+    Parts are drawn anew in each bucket, so that two rows which share buckets meet in some part or by
+    their trees; the last level takes what is left of a bucket whole.
+    """
+    schema = "u long, v long, bucket long, marks binary"
+    pick = lambda df, key: df.select(key.alias("key"), "bucket", "node", "marks").repartition("key").sortWithinPartitions("key", "node")
+    edges, todo = None, dealt
+    for level in range(levels):
+        found = materialize(pick(todo, F.col("bucket")).mapInArrow(_propose(need, most if level < levels - 1 else None), schema), "proposals")
+        edges = found.where("v is not null") if edges is None else edges.unionByName(found.where("v is not null"))
+        again = found.where("v is null").select("bucket", F.col("u").alias("node"), "marks")
+        if level == levels - 1 or again.isEmpty():
+            break
+        parts = again.groupBy("bucket").agg(F.ceil(2 * F.count("*") / most).cast("long").alias("parts"))
+        keyed = again.join(parts, "bucket")
+        part = F.xxhash64("bucket", F.lit(level), F.pmod(F.xxhash64("bucket", "node"), F.col("parts")))
+        found = materialize(pick(keyed, part).mapInArrow(_propose(need, None, heads=True), schema), "part-proposals")
+        edges = edges.unionByName(found.where("v is not null"))
+        todo = found.where("v is null").select("bucket", F.col("u").alias("node"), "marks")
+    return edges.select("u", "v")
+
+
 def group_sets(sets: list[np.ndarray], similarity: float) -> list[int]:
     """For each set of hashes the first set that links of ``similarity`` or more lead to."""
     size = np.array([len(x) for x in sets])
@@ -319,53 +379,143 @@ def group_sets(sets: list[np.ndarray], similarity: float) -> list[int]:
     return root
 
 
-def _whole_groups(rows: DataFrame, families: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """node, root: groups by whole shingle sets within ``families`` (node, root), which no similar pair crosses."""
+def cross_links(mine: list[np.ndarray], labels: np.ndarray, others: list[np.ndarray], other_labels: np.ndarray, similarity: float) -> set[tuple[int, int]]:
+    """Pairs of different labels between which two sets of hashes are similar."""
+    size = np.array([len(x) for x in others])
+    starts = np.cumsum(size) - size
+    words, flat = np.unique(np.concatenate(others), return_inverse=True)
+    mark, links = np.zeros(len(words), bool), set()
+    for x, label in zip(mine, labels.tolist()):
+        at = np.searchsorted(words, x)
+        at = at[(at < len(words)) & (words[np.minimum(at, len(words) - 1)] == x)]
+        mark[at] = True
+        both = np.add.reduceat(mark[flat], starts, dtype=np.int64)
+        mark[at] = False
+        hit = (both / (len(x) + size - both) >= similarity) & (other_labels != label)
+        links |= {(label, v) for v in other_labels[hit].tolist()}
+    return links
+
+
+def _arrays(column) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), np.uint64) for x in column]
+
+
+def _sets(rows: DataFrame, members: DataFrame, shingle: int) -> DataFrame:
+    """family, blocks, node, shingles of the rows (node, text) that ``members`` (node, family, blocks) names."""
 
     def sets(batches):
         for b in batches:
-            found = [shingle_set(t.as_py(), shingle).tobytes() for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(found, pa.binary())], ["family", "node", "shingles"])
+            found = [shingle_set(t.as_py(), shingle).tobytes() for t in b.column(3)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(found, pa.binary())], ["family", "blocks", "node", "shingles"])
+
+    texts = rows.select("node", "text").join(members, "node").dropDuplicates(["node"])
+    return texts.select("family", "blocks", "node", "text").mapInArrow(sets, "family long, blocks long, node long, shingles binary")
+
+
+def _grouped(sets: DataFrame, seed: int, similarity: float) -> DataFrame:
+    """node, root: groups within each block of each family; a block is held by one task."""
 
     def grow(batches):
-        for _, t in runs(batches, "family"):
+        for _, t in runs(batches, "cell"):
             nodes = t.column("node").to_numpy()
-            root = group_sets([np.frombuffer(x.as_py(), np.uint64) for x in t.column("shingles")], similarity)
+            root = group_sets(_arrays(t.column("shingles")), similarity)
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "root"])
 
-    texts = rows.select("node", "text").join(families.withColumnRenamed("root", "family"), "node").dropDuplicates(["node"])
-    shingles = texts.select("family", "node", "text").mapInArrow(sets, "family long, node long, shingles binary")
-    return materialize(shingles.repartition("family").sortWithinPartitions("family", "node").mapInArrow(grow, "node long, root long"), "near-groups")
+    cell = F.xxhash64("family", F.pmod(F.xxhash64(F.lit(seed), "node"), F.col("blocks")))
+    dealt = sets.select(cell.alias("cell"), "node", "shingles").repartition("cell").sortWithinPartitions("cell", "node")
+    return dealt.mapInArrow(grow, "node long, root long")
+
+
+def _blocks(weight: Column) -> Column:
+    return F.ceil(weight / BLOCK_SHINGLES).cast("long")
+
+
+def _large_groups(sets: DataFrame, similarity: float) -> DataFrame:
+    """node, root in families too large for a task: ``sets`` (family, blocks, node, shingles).
+
+    Groups are found within blocks, then among the first members of these. Where a family is more than
+    one group after that, every member outside its largest group is compared, block by block, with all
+    members of other groups: nothing that is linked is missed, and no task holds more than two blocks.
+    """
+    first = materialize(_grouped(sets, 1, similarity), "block-groups")
+    heads = sets.join(first.where("node = root").select("node"), "node").withColumn("n", (F.length("shingles") / 8).cast("long"))
+    fewer = heads.groupBy("family").agg(_blocks(F.sum("n")).alias("fewer"))
+    heads = heads.join(fewer, "family").select("family", F.col("fewer").alias("blocks"), "node", "shingles")
+    second = materialize(_grouped(heads, 2, similarity), "head-groups").toDF("head", "label")
+    labels = first.join(second, F.col("root") == F.col("head")).select("node", "label")
+    members = materialize(sets.join(labels, "node").select("family", "node", "label", "shingles", (F.length("shingles") / 8).cast("long").alias("n")), "labelled-sets")
+    groups = members.groupBy("family", "label").agg(F.sum("n").alias("n"))
+    per = groups.groupBy("family").agg(F.max_by("label", F.struct("n", "label")).alias("largest"), F.sum("n").alias("all"), (F.sum("n") - F.max("n")).alias("rest"))
+    open_ = per.where("rest > 0").select("family", "largest", _blocks(F.col("rest")).alias("a"), _blocks(F.col("all")).alias("b"))
+    found = members.join(open_, "family")
+    place = lambda seed, n: F.pmod(F.xxhash64(F.lit(seed), "node"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    mine = found.where("label <> largest").select("family", "label", "shingles", F.lit(True).alias("mine"), place(3, "a").alias("i"), every("b").alias("j"))
+    others = found.select("family", "label", "shingles", F.lit(False).alias("mine"), place(4, "b").alias("j"), every("a").alias("i"))
+    cells = mine.unionByName(others).select(F.xxhash64("family", "i", "j").alias("cell"), "mine", "label", "shingles")
+
+    def link(batches):
+        for _, t in runs(batches, "cell"):
+            side = t.column("mine").to_numpy()
+            if side.all() or not side.any():
+                continue
+            sets, label = _arrays(t.column("shingles")), t.column("label").to_numpy()
+            a, b = np.flatnonzero(side).tolist(), np.flatnonzero(~side).tolist()
+            pairs = cross_links([sets[i] for i in a], label[a], [sets[i] for i in b], label[b], similarity)
+            if pairs:
+                u, v = zip(*sorted(pairs))
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    links = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(link, "u long, v long")
+    joined = components(links).withColumnRenamed("node", "label")
+    return members.select("node", "label").join(joined, "label", "left").select("node", F.coalesce("root", "label").alias("root"))
+
+
+def _whole_groups(rows: DataFrame, families: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """node, root: groups by whole shingle sets within ``families`` (node, root, n: the node's shingles), which no similar pair crosses."""
+    weight = families.groupBy("root").agg(_blocks(F.sum("n")).alias("blocks"))
+    members = materialize(families.join(weight, "root").select("node", F.col("root").alias("family"), "blocks"), "families")
+    small = materialize(_grouped(_sets(rows, members.where("blocks <= 1"), shingle), 0, similarity), "near-groups")
+    large = members.where("blocks > 1")
+    if large.isEmpty():
+        return small
+    sets = materialize(_sets(rows, large, shingle), "family-sets")
+    return small.unionByName(materialize(_large_groups(sets, similarity), "large-groups"))
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """node, doc_id, component_id, kept: near-duplicates by the Jaccard similarity of word shingles.
 
     node is a hash of doc_id and text, so repeated rows are one document. Pairs that share a band of
-    minimum hashes are proposed and then verified on whole texts. component_id
-    is the smallest doc_id of the group, and the document that has it is kept (of several, one).
+    minimum hashes are proposed and then verified on whole texts. component_id is the smallest doc_id of
+    the group, and the document that has it is kept (of several, one); a null doc_id stays only where a
+    group has no other. A null text is empty; texts of fewer words than a shingle are one shingle, so
+    they are similar if they have the same words, none included. No rows give no rows; extra columns are
+    ignored.
     """
     rows = docs.select(node_id().alias("node"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     n = 2 * band_count(similarity)
 
     def mark(batches):
         for b in batches:
-            least = np.array([minimum_hashes(shingle_set(t.as_py(), shingle), n) for t in b.column(2)], np.uint64).reshape(-1, n)
+            found = [shingle_set(t.as_py(), shingle) for t in b.column(2)]
+            least = np.array([minimum_hashes(x, n) for x in found], np.uint64).reshape(-1, n)
             keys = [_band_keys(x) for x in least]
             marks = [x.tobytes() for x in (least >> np.uint64(20)).astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary())], ["node", "doc_id", "buckets", "marks"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array([len(x) for x in found], pa.int64())], ["node", "doc_id", "buckets", "marks", "n"])
 
-    marked = materialize(rows.mapInArrow(mark, "node long, doc_id long, buckets array<long>, marks binary").dropDuplicates(["node"]), "minimum-hashes")
-    dealt = marked.select(F.explode("buckets").alias("bucket"), "node", "marks").repartition("bucket").sortWithinPartitions("bucket", "node")
-    edges = dealt.mapInArrow(_propose(least_equal(n, similarity)), "u long, v long").distinct()
-    groups = _whole_groups(rows, components(edges), shingle, similarity)
+    marked = materialize(rows.mapInArrow(mark, "node long, doc_id long, buckets array<long>, marks binary, n long").dropDuplicates(["node"]), "minimum-hashes")
+    dealt = marked.select(F.explode("buckets").alias("bucket"), "node", "marks")
+    edges = _proposals(dealt, least_equal(n, similarity), BUCKET)
+    families = components(edges).join(marked.select("node", "n"), "node")
+    groups = _whole_groups(rows, families, shingle, similarity)
     linked = marked.select("node", "doc_id").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
     return linked.join(best, "root").select("node", "doc_id", F.col("best.doc_id").alias("component_id"), (F.col("node") == F.col("best.node")).alias("kept"))
 
 
 def node_id():
-    return F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.coalesce(F.col("text"), F.lit("")))
+    return F.xxhash64(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), F.coalesce(F.col("text"), F.lit("")))
 
 
 def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
