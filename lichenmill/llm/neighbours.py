@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 
 from ._common import materialize, own_names, release, runs
 
-DEGREE, PASSES, STRETCH, ROUNDS = 24, 6, 512, 3
+DEGREE, PASSES, STRETCH, ROUNDS = 48, 4, 512, 4
 #: Nodes a query keeps, nodes it follows at each hop, and hops: it meets 2 * DEGREE * EXPAND * HOPS others at the most.
-POOL, EXPAND, HOPS = 100, 10, 4
+POOL, EXPAND, HOPS = 200, 20, 4
 #: The projections' medians are fitted on this many vectors at most; every vector is indexed.
 SAMPLE = 4096
 #: Components beyond this many times the usual size are taken as that, in the graph alone.
@@ -185,7 +185,7 @@ def search_graph(graph: DataFrame, nodes: DataFrame, queries: DataFrame, degree:
     return state
 
 
-def nearest(table: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
+def nearest(table: DataFrame, every: int = 100, k: int = 10, pool: int = POOL) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` nearest found of every row whose vec_id is divisible by ``every``.
 
     score is the Euclidean distance of the original vectors in double precision; ties go to the smaller
@@ -219,7 +219,7 @@ def nearest(table: DataFrame, every: int = 100, k: int = 10) -> DataFrame:
     queries = materialize(asked.select(F.col("node").alias("query")).distinct(), "queries")
 
     graph = build_graph(nodes, dim)
-    found = search_graph(graph, nodes, queries)
+    found = search_graph(graph, nodes, queries, pool=pool)
     short = found.select("query", F.explode(F.concat(F.array("query"), F.slice("ids", 1, 4 * k))).alias("nbr"))
     a, z = distinct.select(F.col("node").alias("query"), F.col("vector").alias("a")), distinct.select(F.col("node").alias("nbr"), F.col("vector").alias("z"))
     exact = short.join(z, "nbr").join(a, "query")

@@ -513,6 +513,38 @@ def test_neighbours(spark):
     assert [v for _, v, _ in got[0]] == list(range(50, 60))
 
 
+def _recall(x, rows, k=10):
+    found: dict = {}
+    for r in rows:
+        found.setdefault(r.query_id, set()).add(r.vec_id)
+    hit = 0
+    for q, got in found.items():
+        d = ((x.astype(np.float64) - x[q].astype(np.float64)) ** 2).sum(axis=1)
+        d[q] = np.inf
+        hit += len(got & set(np.argsort(d)[:k].tolist()))
+    return hit / (k * len(found))
+
+
+def test_neighbours_with_an_outlier_and_a_small_pool(spark):
+    rng = np.random.default_rng(11)
+    x = (rng.standard_normal((60, 24))[rng.integers(0, 60, 5000)] * 2 + rng.standard_normal((5000, 24))).astype(np.float32)
+    x[17] = 0
+    x[17, 0] = 1e8  # one vector far larger than the others
+    x[18] *= 1e-6
+    odd = [(9000, [1.0] * 23, 1, 0.0), (9100, [1.0] * 25, 1, 0.0)]  # lengths that few have
+    rows = neighbours.nearest(_embeddings(spark, x, odd), pool=50).collect()
+    assert {r.query_id for r in rows} == set(range(0, 5000, 100)) and max(r.vec_id for r in rows) < 5000
+    assert _recall(x, rows) >= 0.9
+
+
+def test_neighbours_of_repeated_ids_and_huge_vectors(spark):
+    big = [[1e300 * (i + 1), 1.0, 0.0] for i in range(5)] + [[1.0, 2.0, float(i)] for i in range(6)]
+    rows = [(i, v) for i, v in enumerate(big)] + [(5, [9.0, 9.0, 9.0]), (5, [0.5, 2.0, 0.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = [(r.rank, r.vec_id, r.score) for r in neighbours.nearest(table, every=5).where("query_id = 5").orderBy("rank").collect()]
+    assert [v for _, v, _ in got][:5] == [6, 7, 8, 9, 10] and abs(got[0][2] - math.sqrt(0.25 + 1)) < 1e-12 and len(got) == 10
+
+
 def test_neighbours_small(spark):
     assert neighbours.nearest(_embeddings(spark, np.empty((0, 4)), [(0, None, 1, 0.0)])).count() == 0
     assert neighbours.nearest(_embeddings(spark, np.ones((1, 4)))).count() == 0
