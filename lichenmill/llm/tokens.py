@@ -24,10 +24,12 @@ from pyspark.sql import functions as F
 
 from ._common import own_names, scratch
 
-#: Distinct chunks a worker keeps, twice: those met lately and those before them.
-CACHE_CHUNKS = 800_000
+#: Distinct chunks a worker keeps.
+CACHE_CHUNKS = 1_200_000
 #: The same where the executor also sorts whole texts and has less memory to spare.
-SORTED_CACHE_CHUNKS = 400_000
+SORTED_CACHE_CHUNKS = 800_000
+#: A full cache begins anew when so many times its chunks were missed.
+FORGET = 8
 #: Chunks that go to the library as one text.
 GROUP = 200
 SLICE_CHARS = 4_000_000
@@ -55,8 +57,8 @@ class ChunkEncoder:
             spec = json.load(f)
         self.mode = self._mode(spec)
         self.vocab = self.tokenizer.get_vocab_size()
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
+        self.missed = 0
         self.lead, self.mark = (" ", "\n") if self.mode == "byte_level" else ("", " | ")
         mark = self._encode([self.mark])[0] if self.mode != "whole" else b""
         self.mark_ids = mark
@@ -89,38 +91,61 @@ class ChunkEncoder:
 
     def _many(self, chunks: list[str], lead: str) -> list[bytes]:
         """The ids of each of ``lead`` + chunk."""
-        out: dict[str, bytes] = {}
-        plain = [c for c in chunks if c and not self._apart.search(c)] if self.mark_id is not None else []
-        kinds = [(plain, None)]
-        if self.bare is not None:
-            kinds = [([c for c in plain if c.isascii()], self.bare), ([c for c in plain if not c.isascii()], None)]
-        for some, tokenizer in kinds:
-            groups = [some[a : a + GROUP] for a in range(0, len(some), GROUP)]
-            joined = [self.mark.join([lead + c for c in g]) for g in groups]
-            for group, raw in zip(groups, self._encode([j.lower() for j in joined] if tokenizer else joined, tokenizer)):
-                cut = np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark_id)
-                if len(cut) == len(group) - 1:
-                    starts, ends = [0, *((cut + 1) * 4).tolist()], [*(cut * 4).tolist(), len(raw)]
-                    out.update((c, raw[a:z]) for c, a, z in zip(group, starts, ends))
-        rest = [c for c in chunks if c not in out]
-        out.update(zip(rest, self._encode([lead + c for c in rest])))
-        return [out[c] for c in chunks]
+        out: list[bytes | None] = [None] * len(chunks)
+        at = range(len(chunks))
+        if self.mark_id is not None:
+            kinds = [(at, None)]
+            if self.bare is not None:
+                kinds = [([i for i in at if chunks[i].isascii()], self.bare), ([i for i in at if not chunks[i].isascii()], None)]
+            for some, tokenizer in kinds:
+                odd = self._joined(chunks, some, lead, tokenizer, out)
+                plain = [i for i in odd if chunks[i] and not self._apart.search(chunks[i])]
+                if plain:
+                    self._joined(chunks, plain, lead, tokenizer, out)
+        rest = [i for i in at if out[i] is None]
+        for i, ids in zip(rest, self._encode([lead + chunks[i] for i in rest])):
+            out[i] = ids
+        return out
+
+    def _joined(self, chunks: list[str], at, lead: str, tokenizer, out: list) -> list[int]:
+        """Encode the chunks ``at`` these places many at a time; the places of groups that cannot be cut apart again are returned."""
+        groups, odd = [], []
+        for a in range(0, len(at), GROUP):
+            places = at[a : a + GROUP]
+            words = [chunks[i] for i in places]
+            if self._apart.search("".join(words)) or "" in words:
+                odd += places
+            else:
+                groups.append((places, (self.mark + lead).join(words)))
+        texts = [lead + j.lower() if tokenizer else lead + j for _, j in groups]
+        for (places, _), raw in zip(groups, self._encode(texts, tokenizer)):
+            cut = (np.flatnonzero(np.frombuffer(raw, "<u4") == self.mark_id) * 4).tolist()
+            if len(cut) != len(places) - 1:
+                odd += places
+                continue
+            for i, a, z in zip(places, [0, *(c + 4 for c in cut)], [*cut, len(raw)]):
+                out[i] = raw[a:z]
+        return odd
 
     def _fill(self, chunks: list[str]) -> list[bytes]:
-        """The ids of distinct chunks not met lately, put into the cache; one that begins with a line break has no space before its word."""
-        if len(self.young) + len(chunks) > self.cache_chunks:
-            self.young, self.old = {}, self.young
-        ids = list(map(self.old.get, chunks))
-        new = [c for c, v in zip(chunks, ids) if v is None]
+        """The ids of distinct chunks that the cache lacks; one that begins with a line break has no space before its word.
+
+        The cache takes in chunks until it is full. The most frequent ones are among the first met, and
+        the rare ones would but push each other out; once as many again have been missed FORGET times,
+        it begins anew, so that a worker which has come to other texts learns their words.
+        """
         if self.mode == "byte_level":
-            lines = [c[1:] for c in new if c[:1] == "\n"]
-            words = [c for c in new if c[:1] != "\n"]
+            lines, words = [c[1:] for c in chunks if c[:1] == "\n"], [c for c in chunks if c[:1] != "\n"]
             lines, words = iter(self._many(lines, "")), iter(self._many(words, self.lead))
-            found = iter([self.mark_ids + next(lines) if c[:1] == "\n" else next(words) for c in new])
+            ids = [self.mark_ids + next(lines) if c[:1] == "\n" else next(words) for c in chunks]
         else:
-            found = iter(self._many(new, self.lead))
-        ids = [next(found) if v is None else v for v in ids]
-        self.young.update(zip(chunks, ids))
+            ids = self._many(chunks, self.lead)
+        if len(self.known) < self.cache_chunks:
+            self.known.update(zip(chunks, ids))
+            return ids
+        self.missed += len(chunks)
+        if self.missed > FORGET * self.cache_chunks:
+            self.known, self.missed = {}, 0
         return ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -145,7 +170,7 @@ class ChunkEncoder:
         at, chunks = split.offsets.to_numpy(), split.flatten()
         coded = chunks.dictionary_encode()
         keys = coded.dictionary.to_pylist()
-        ids = list(map(self.young.get, keys))
+        ids = list(map(self.known.get, keys))
         if None in ids:
             missed = [k for k, v in zip(keys, ids) if v is None]
             found = iter(self._fill(missed))
