@@ -6,21 +6,33 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def compress_intervals(df: DataFrame, keys: list[str] | str, start: str = "start", stop: str = "stop") -> DataFrame:
-    """keys, start, stop: one row a merged interval.
+#: Positions that one task's run of a group spans at first.
+STRETCH = 1 << 20
 
-    Rows with a NULL end are ignored, swapped ends are turned, and intervals that touch merge. Gaps and
-    islands over a spillable sort, so one group may be of any size; no group is held in memory.
-    """
-    keys = [keys] if isinstance(keys, str) else list(keys)
-    a, b = F.col(start).cast("bigint"), F.col(stop).cast("bigint")
-    rows = df.where(a.isNotNull() & b.isNotNull()).select(*keys, F.least(a, b).alias("__lo"), F.greatest(a, b).alias("__hi"))
+
+def _islands(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The intervals (__lo, __hi) of each group of ``keys``, merged by gaps and islands over a spillable sort."""
     order = Window.partitionBy(*keys).orderBy("__lo", "__hi")
     reach = F.max("__hi").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(reach.isNull() | (F.col("__lo") > reach), 1).otherwise(0)
     island = F.sum("__new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
     marked = rows.withColumn("__new", fresh).withColumn("__island", island)
-    return marked.groupBy(*keys, "__island").agg(F.min("__lo").alias(start), F.max("__hi").alias(stop)).drop("__island")
+    return marked.groupBy(*keys, "__island").agg(F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi")).drop("__island")
+
+
+def compress_intervals(df: DataFrame, keys: list[str] | str, start: str = "start", stop: str = "stop", stretch: int = STRETCH) -> DataFrame:
+    """keys, start, stop: one row a merged interval.
+
+    Rows with a NULL end are ignored, swapped ends are turned, and intervals that touch merge. Intervals
+    are merged within stretches of ``stretch`` positions first, so that a group with most rows is as
+    many tasks as it has stretches; what is left of them is merged across.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    a, b = F.col(start).cast("bigint"), F.col(stop).cast("bigint")
+    rows = df.where(a.isNotNull() & b.isNotNull()).select(*keys, F.least(a, b).alias("__lo"), F.greatest(a, b).alias("__hi"))
+    dealt = rows.withColumn("__stretch", F.floor(F.col("__lo") / stretch))
+    near = _islands(dealt, [*keys, "__stretch"]).drop("__stretch")
+    return _islands(near, keys).select(*keys, F.col("__lo").alias(start), F.col("__hi").alias(stop))
 
 
 def compress_intervals_list(df: DataFrame, keys: list[str] | str, start: str = "start", stop: str = "stop") -> DataFrame:

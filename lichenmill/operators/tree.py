@@ -9,9 +9,11 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lichenmill.scratch import scratch_table
+
 NO_LENGTH = math.nan
 _SPECIAL = set(" ()[]{}':;,\"\t\n\r")
 
@@ -257,23 +259,74 @@ def pairwise_distance(a: Node, b: Node) -> float:
     return distance_to_root(a) + distance_to_root(b) - 2 * distance_to_root(find_lca(a, b))
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """``df`` written and read back, so that a round's plan does not hold those before it."""
+    at = scratch_table(df.sparkSession, "tree")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
+def _jumps(nodes: DataFrame) -> list[DataFrame]:
+    """Tables (node_index, up, depth, distance): 1, 2, 4, ... edges up, as far as the root; ``up`` is NULL where that is reached.
+
+    Each is the one before it joined with itself, so a tree of depth d takes log2(d) joins.
+    """
+    root = F.col("parent_index").isNull()
+    length = F.when(root | F.isnan(F.coalesce("branch_length", F.lit(0.0))), 0.0).otherwise(F.coalesce("branch_length", F.lit(0.0)))
+    out = [_kept(nodes.select("node_index", F.col("parent_index").alias("up"), F.when(root, 0).otherwise(1).cast("bigint").alias("depth"), length.cast("double").alias("distance")))]
+    most = out[0].count().bit_length()
+    while not out[-1].where("up is not null").isEmpty():
+        if len(out) > most:  # no path is longer than all nodes
+            raise ValueError("Tree has a cycle")
+        s, t = out[-1].alias("s"), out[-1].alias("t")
+        more = lambda c: F.col(f"s.{c}") + F.coalesce(f"t.{c}", F.lit(0))
+        out.append(_kept(s.join(t, F.col("s.up") == F.col("t.node_index"), "left").select("s.node_index", "t.up", more("depth").alias("depth"), more("distance").alias("distance"))))
+    return out
+
+
 def depths(nodes: DataFrame) -> DataFrame:
-    """node_index, depth, distance_to_root of all nodes of one or more trees, by a recursive query."""
-    spark = nodes.sparkSession
-    nodes.createOrReplaceTempView("__tree_nodes")
-    return spark.sql(
-        """WITH RECURSIVE walk(node_index, depth, distance_to_root) AS (
-             SELECT node_index, 0, CAST(0 AS DOUBLE) FROM __tree_nodes WHERE parent_index IS NULL
-             UNION ALL
-             SELECT n.node_index, w.depth + 1, w.distance_to_root + coalesce(n.branch_length, 0D)
-             FROM __tree_nodes n JOIN walk w ON n.parent_index = w.node_index)
-           SELECT * FROM walk"""
-    )
+    """node_index, depth, distance_to_root of all nodes of one or more trees."""
+    return _jumps(nodes)[-1].select("node_index", F.col("depth").cast("int").alias("depth"), F.col("distance").alias("distance_to_root"))
+
+
+def tip_rows(nodes: DataFrame) -> DataFrame:
+    """The rows of ``nodes`` without children."""
+    parents = nodes.where("parent_index is not null").select(F.col("parent_index").alias("__parent")).distinct()
+    return nodes.join(parents, F.col("node_index") == F.col("__parent"), "left_anti")
+
+
+def common_ancestors(nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """a, b, ancestor, distance of each pair (a, b) of nodes of one tree: their lowest common ancestor and the path between them.
+
+    The deeper node climbs to the other's depth, then both climb while they differ, by halving jumps:
+    a join for each, whatever the number of pairs. Nodes of different trees have none.
+    """
+    jumps = _jumps(nodes)
+    whole = jumps[-1].select("node_index", "depth", "distance")
+    now = pairs.select("a", "b")
+    for c in ("a", "b"):
+        now = now.join(whole.toDF(c, f"depth_{c}", f"distance_{c}"), c)
+    deeper = F.col("depth_a") >= F.col("depth_b")
+    now = now.select("a", "b", "distance_a", "distance_b", F.when(deeper, F.col("a")).otherwise(F.col("b")).alias("x"), F.when(deeper, F.col("b")).otherwise(F.col("a")).alias("y"), F.abs(F.col("depth_a") - F.col("depth_b")).alias("gap"))
+    up = lambda k, c: jumps[k].select(F.col("node_index").alias(c), F.col("up").alias(f"{c}_up"))
+    for k in reversed(range(len(jumps))):
+        lifted = now.join(up(k, "x"), "x", "left").withColumn("x", F.when(F.col("gap") >= 1 << k, F.col("x_up")).otherwise(F.col("x")))
+        now = _kept(lifted.withColumn("gap", F.when(F.col("gap") >= 1 << k, F.col("gap") - (1 << k)).otherwise(F.col("gap"))).drop("x_up"))
+    for k in reversed(range(len(jumps))):
+        both = now.join(up(k, "x"), "x", "left").join(up(k, "y"), "y", "left")
+        differ = (F.col("x") != F.col("y")) & F.col("x_up").isNotNull() & F.col("y_up").isNotNull() & (F.col("x_up") != F.col("y_up"))
+        now = _kept(both.select("a", "b", "distance_a", "distance_b", "gap", F.when(differ, F.col("x_up")).otherwise(F.col("x")).alias("x"), F.when(differ, F.col("y_up")).otherwise(F.col("y")).alias("y")))
+    last = now.join(up(0, "x"), "x", "left").join(up(0, "y"), "y", "left")
+    found = last.select("a", "b", "distance_a", "distance_b", F.when(F.col("x") == F.col("y"), F.col("x")).when(F.col("x_up") == F.col("y_up"), F.col("x_up")).alias("ancestor"))
+    above = whole.select(F.col("node_index").alias("ancestor"), F.col("distance").alias("above"))
+    return found.join(above, "ancestor", "left").select("a", "b", "ancestor", (F.col("distance_a") + F.col("distance_b") - 2 * F.col("above")).alias("distance"))
 
 
 # --- placements ----------------------------------------------------------------------------------
 
 EPSILON = 1e-9
+# Fixed value: the most nodes that a tree may have.
+MOST_NODES = 4294967294
 
 
 @dataclass
@@ -296,39 +349,59 @@ def best_placements(placements: list[Placement]) -> list[Placement]:
 
 
 def best_placements_frame(df: DataFrame) -> DataFrame:
-    """The same for a relation, by exact order, which keeps huge placement tables off the driver."""
-    order = Window.partitionBy("fragment_id").orderBy(F.desc("like_weight_ratio"), "pendant_length", "edge_id")
-    return df.where("fragment_id is not null").withColumn("__no", F.row_number().over(order)).where("__no = 1").drop("__no")
-
-
-def check_placement(p: dict) -> None:
+    """The same for a relation of any size: of the ratios within EPSILON of the largest, the smallest pendant length, then edge_id.
+
+    Both steps are aggregations, so a fragment with most placements is folded before the shuffle.
+    """
+    rows = df.where("fragment_id is not null")
+    most = rows.groupBy("fragment_id").agg(F.max("like_weight_ratio").alias("__most"))
+    near = rows.join(most, "fragment_id").where(F.col("like_weight_ratio") >= F.col("__most") - EPSILON)
+    others = [c for c in df.columns if c not in ("fragment_id", "pendant_length", "edge_id")]
+    least = near.groupBy("fragment_id").agg(F.min(F.struct("pendant_length", "edge_id", *others)).alias("__best"))
+    return least.select("fragment_id", "__best.*").select(*df.columns)
+
+
+def placement_problem(p: dict[str, Column], length: Column, known: Column) -> Column:
+    """What is wrong with a placement on an edge of that ``length`` (NULL: absent, which no distal length exceeds); NULL if nothing is."""
+    of = F.concat(F.lit(" for fragment '"), p["fragment_id"], F.lit("'"))
+    text = lambda c: c.cast("string")
+    out = None
     for c in ("edge_id", "like_weight_ratio", "distal_length", "pendant_length"):
-        if p.get(c) is None:
-            raise ValueError(f"NULL {c} for fragment '{p['fragment_id']}'")
+        said = F.concat(F.lit(f"NULL {c}"), of)
+        out = F.when(p[c].isNull(), said) if out is None else out.when(p[c].isNull(), said)
+    out = out.when(~known, F.concat(F.lit("Unknown edge_id "), text(p["edge_id"]), of))
+    for c in ("distal_length", "pendant_length"):
+        out = out.when(p[c] < 0, F.concat(F.lit(f"Negative {c}"), of))
+    beyond = F.concat(F.lit("distal_length "), text(p["distal_length"]), F.lit(" exceeds edge length "), text(length), of)
+    return out.when(length.isNotNull() & ~F.isnan(length) & (p["distal_length"] > length), beyond)
 
 
 def insert_placements(root: Node, placements: list[Placement]) -> Node:
-    """Insert every fragment as a tip of its own on its edge, farthest from the edge's child first; the root, which may be new."""
-    edges = {n.edge: n for n in preorder(root) if n.edge is not None}
+    """Insert every fragment as a tip of its own on its edge, farthest from the edge's child first; the root, which may be new.
+
+    On an edge without a length any distal length is allowed, and the uppermost new edge has no length either.
+    """
+    nodes = list(preorder(root))
+    edges = {n.edge: n for n in nodes if n.edge is not None}
     for p in placements:
         if p.edge not in edges:
             raise ValueError(f"Unknown edge_id {p.edge} for fragment '{p.fragment}'")
         if p.distal < 0 or p.pendant < 0:
             raise ValueError(f"Negative {'distal_length' if p.distal < 0 else 'pendant_length'} for fragment '{p.fragment}'")
-        n = edges[p.edge]
-        length = 0.0 if math.isnan(n.length) else n.length
-        if p.distal > length + EPSILON:
-            raise ValueError(f"distal_length {p.distal} of fragment '{p.fragment}' exceeds the branch length {length} of edge {p.edge}")
+        if p.distal > edges[p.edge].length:  # never of an absent length
+            raise ValueError(f"distal_length {p.distal} exceeds edge length {edges[p.edge].length} for fragment '{p.fragment}'")
+    best = best_placements(placements)
+    check_node_limit(len(nodes), len(best))
     by_edge: dict[int, list[Placement]] = {}
-    for p in best_placements(placements):
+    for p in best:
         by_edge.setdefault(p.edge, []).append(p)
     for edge, items in by_edge.items():
         below = edges[edge]
-        left = 0.0 if math.isnan(below.length) else below.length
+        left = below.length
         above = below.parent
         place = above.children.index(below) if above else None
         for p in sorted(items, key=lambda p: -p.distal):
-            joint = Node(length=max(0.0, left - p.distal), parent=above)
+            joint = Node(length=left - p.distal, parent=above)
             tip = Node(p.fragment, p.pendant, parent=joint)
             if above is None:
                 root = joint
@@ -339,3 +412,8 @@ def insert_placements(root: Node, placements: list[Placement]) -> Node:
             above, place, left = joint, 0, p.distal
         below.length = left
     return root
+
+
+def check_node_limit(nodes: int, fragments: int) -> None:
+    if nodes + 2 * fragments > MOST_NODES:
+        raise ValueError(f"Too many placements: would create {2 * fragments} new nodes, exceeding maximum of {MOST_NODES} total nodes")
