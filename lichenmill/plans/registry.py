@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lichenmill import __version__
 from lichenmill.functions import cigar, flags, misc, pairwise, quality, sequences
 from lichenmill.operators import align, analysis, intervals, minimizers, tree
 from lichenmill.scratch import scratch_path
@@ -88,7 +89,7 @@ def _cigars(spark, sf) -> DataFrame:
     text_ = F.concat(h, F.lit("H"), s, F.lit("S"), m, F.lit("M"), i, F.lit("I"), m, F.lit("="), d, F.lit("D"), i, F.lit("X"), s, F.lit("S"))
     nm = F.col("l_suppkey") % 7 + 1 + F.col("l_partkey") % 5 + 1 + F.col("l_partkey") % 4
     md = F.concat(m, F.lit("A"), i, F.lit("^ACGT"), d, F.lit("T"), m)
-    return li.select("l_orderkey", "l_linenumber", text_.alias("cigar"), nm.alias("nm"), md.alias("md"))
+    return _spread(li).select("l_orderkey", "l_linenumber", text_.alias("cigar"), nm.alias("nm"), md.alias("md"))
 
 
 for _kind, _sql in (
@@ -140,12 +141,17 @@ def _md(spark, sf):
 
 # --- F19 to F23: nucleotides ---------------------------------------------------------------------
 
-_DNA_SQL = "WITH dna AS (SELECT doc_id, regexp_replace(substr(text, 1, 400), '[^ACGTacgt]', '', 'g') AS s FROM documents) "
+_DNA_SQL = "WITH dna AS (SELECT doc_id, regexp_replace(text, '[^ACGTacgt]', '', 'g') AS s FROM documents) "
 
 
 def _dna(spark, sf, letters: str = "ACGTacgt") -> DataFrame:
-    """doc_id, s: the nucleotide letters of a text's first 400 characters: how this table gets sequences at all."""
-    return _t(spark, sf, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 400), f"[^{letters}]", "").alias("s"))
+    """doc_id, s: the nucleotide letters of a whole text: how this table gets sequences at all."""
+    return _t(spark, sf, "documents").select("doc_id", F.regexp_replace("text", f"[^{letters}]", "").alias("s"))
+
+
+def _spread(df: DataFrame) -> DataFrame:
+    """Rows of a table in few row groups over all cores, ahead of dear functions."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
 
 
 @query("f19_dna_reverse_complement", _DNA_SQL + "SELECT doc_id, translate(reverse(s), 'ACGTacgt', 'TGCAtgca') AS rc FROM dna")
@@ -161,18 +167,18 @@ def _rna_rc(spark, sf):
 _EXPAND = "s"
 for _k, _v in sequences.DNA_BASES.items():
     _EXPAND = f"replace(replace({_EXPAND}, '{_k}', '[{_v}]'), '{_k.lower()}', '[{_v.lower()}]')"
-_IUPAC_SQL = "WITH dna AS (SELECT doc_id, regexp_replace(substr(text, 1, 200), '[^ACGTRYSWKMBDHVNacgtryswkmbdhvn]', '', 'g') AS s FROM documents) "
+_IUPAC_SQL = "WITH dna AS (SELECT doc_id, regexp_replace(text, '[^ACGTRYSWKMBDHVNacgtryswkmbdhvn]', '', 'g') AS s FROM documents) "
 
 
 @query("f21_dna_as_regexp", _IUPAC_SQL + f"SELECT doc_id, {_EXPAND} AS pattern FROM dna")
 def _dna_pattern(spark, sf):
-    rows = _t(spark, sf, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 200), "[^ACGTRYSWKMBDHVNacgtryswkmbdhvn]", "").alias("s"))
+    rows = _t(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[^ACGTRYSWKMBDHVNacgtryswkmbdhvn]", "").alias("s"))
     return rows.select("doc_id", sequences.sequence_dna_as_regexp("s").alias("pattern"))
 
 
 @query("f22_rna_as_regexp", _IUPAC_SQL + f"SELECT doc_id, translate({_EXPAND}, 'Tt', 'Uu') AS pattern FROM dna")
 def _rna_pattern(spark, sf):
-    rows = _t(spark, sf, "documents").select("doc_id", F.regexp_replace(F.substring("text", 1, 200), "[^ACGTRYSWKMBDHVNacgtryswkmbdhvn]", "").alias("s"))
+    rows = _t(spark, sf, "documents").select("doc_id", F.regexp_replace("text", "[^ACGTRYSWKMBDHVNacgtryswkmbdhvn]", "").alias("s"))
     return rows.select("doc_id", sequences.sequence_rna_as_regexp(F.translate("s", "Tt", "Uu")).alias("pattern"))
 
 
@@ -184,34 +190,68 @@ def _match(spark, sf):
 # --- F24 to F26: pairwise alignment --------------------------------------------------------------
 
 
+_PIECE = 100
+_PAIR_SQL = _DNA_SQL + f""", pieces AS (
+  SELECT doc_id, no, substr(s, 1 + no * {_PIECE}, {_PIECE}) AS q, substr(s, 7 + no * {_PIECE}, {_PIECE}) AS shifted
+  FROM (SELECT doc_id, s, unnest(range((length(s) + {_PIECE - 1}) // {_PIECE})) AS no FROM dna)),
+pairs AS (
+  SELECT *, length(q) AS n, length(q) // 2 AS k,
+    substr(q, 1, length(q) // 2) || translate(substr(q, length(q) // 2 + 1, 1), 'ACGTacgt', 'CGTAcgta') || substr(q, length(q) // 2 + 2) AS changed FROM pieces)
+"""
+
+
 def _pairs(spark, sf) -> DataFrame:
-    a = _dna(spark, sf).select("doc_id", F.substring("s", 1, 48).alias("q"), F.substring("s", 7, 48).alias("t"))
-    return a
+    """doc_id, no, q, shifted, changed: every stretch of _PIECE letters of a text's sequence, the stretch six letters on, and q with one other letter."""
+    n = F.floor((F.length("s") + _PIECE - 1) / _PIECE)
+    each = _dna(spark, sf).where("s <> ''").select("doc_id", "s", F.explode(F.sequence(F.lit(0), (n - 1).cast("int"))).alias("no"))
+    part = lambda first: F.substring("s", (F.col("no") * _PIECE + first).cast("int"), F.lit(_PIECE))
+    rows = _spread(each.select("doc_id", F.col("no").cast("bigint"), part(1).alias("q"), part(7).alias("shifted")))
+    half = F.floor(F.length("q") / 2).cast("int")
+    other = F.translate(F.substring("q", half + 1, F.lit(1)), "ACGTacgt", "CGTAcgta")
+    return rows.withColumn("changed", F.concat(F.substring("q", F.lit(1), half), other, F.substring("q", half + 2, F.lit(_PIECE))))
 
 
-@query(
-    "f24_pairwise_edit_distance",
-    _DNA_SQL + "SELECT doc_id, levenshtein(substr(s, 1, 48), substr(s, 7, 48))::INT AS score FROM dna",
-)
+@query("f24_pairwise_edit_distance", _PAIR_SQL + "SELECT doc_id, no, levenshtein(q, shifted)::INT AS score FROM pairs")
 def _edit(spark, sf):
-    return _pairs(spark, sf).select("doc_id", pairwise.align_pairwise_score("q", "t", mismatch=1, gap_open=0, gap_extend=1).alias("score"))
+    return _pairs(spark, sf).select("doc_id", "no", pairwise.align_pairwise_score("q", "shifted", mismatch=1, gap_open=0, gap_extend=1).alias("score"))
 
 
-@query("f25_pairwise_cigar")
+# One letter changed costs one mismatch, and anything else a gap at the least; one letter lost costs one gap.
+@query(
+    "f25_pairwise_cigar",
+    _PAIR_SQL
+    + """SELECT doc_id, no, 4 AS score, CASE WHEN k > 0 THEN k || '=' ELSE '' END || '1X' || CASE WHEN n - k - 1 > 0 THEN (n - k - 1) || '=' ELSE '' END AS cigar,
+         8 AS lost FROM pairs""",
+)
 def _pair_cigar(spark, sf):
-    return _pairs(spark, sf).select("doc_id", pairwise.align_pairwise_cigar("q", "t").alias("x")).select("doc_id", "x.score", "x.cigar")
+    lost = F.substring("q", F.lit(2), F.lit(_PIECE))
+    rows = _pairs(spark, sf).select("doc_id", "no", pairwise.align_pairwise_cigar("q", "changed").alias("x"), pairwise.align_pairwise_score("q", lost).alias("lost"))
+    return rows.select("doc_id", "no", "x.score", "x.cigar", "lost")
 
 
-@query("f26_pairwise_full", _DNA_SQL + "SELECT doc_id, substr(s, 1, 48) AS query, substr(s, 7, 48) AS subject FROM dna")
+@query(
+    "f26_pairwise_full",
+    _PAIR_SQL + "SELECT doc_id, no, 4 AS score, q AS query_aligned, changed AS subject_aligned, q AS query, shifted AS subject, true AS fits FROM pairs",
+)
 def _pair_full(spark, sf):
-    rows = _pairs(spark, sf).select("doc_id", pairwise.align_pairwise_full("q", "t").alias("x"))
-    return rows.select("doc_id", F.replace("x.query_aligned", F.lit("-"), F.lit("")).alias("query"), F.replace("x.subject_aligned", F.lit("-"), F.lit("")).alias("subject"))
+    rows = _pairs(spark, sf).select("doc_id", "no", pairwise.align_pairwise_full("q", "changed").alias("x"), pairwise.align_pairwise_full("q", "shifted").alias("y"))
+    bare = lambda c: F.replace(c, F.lit("-"), F.lit(""))
+    return rows.select(
+        "doc_id",
+        "no",
+        "x.score",
+        "x.query_aligned",
+        "x.subject_aligned",
+        bare(F.col("y.query_aligned")).alias("query"),
+        bare(F.col("y.subject_aligned")).alias("subject"),
+        (F.length("y.query_aligned") == F.length("y.subject_aligned")).alias("fits"),
+    )
 
 
 # --- F27, F28, F33 to F36 ------------------------------------------------------------------------
 
 
-@query("f27_engine_version")
+@query("f27_engine_version", f"SELECT '{__version__}' AS version")
 def _version(spark, sf):
     return spark.range(1).select(misc.engine_version().alias("version"))
 
@@ -273,6 +313,25 @@ def _metrics(spark, sf):
     return tree.depths(_geography(spark, sf))
 
 
+@query("f36_tree_tips", f"SELECT node_index FROM ({_TREE_SQL}) t WHERE NOT EXISTS (FROM ({_TREE_SQL}) c WHERE c.parent_index = t.node_index)")
+def _tips(spark, sf):
+    return tree.tip_rows(_geography(spark, sf)).select("node_index")
+
+
+@query(
+    "f36_tree_distances",
+    """SELECT x.c_custkey + 1000 AS a, y.c_custkey + 1000 AS b,
+         CASE WHEN x.c_nationkey = y.c_nationkey THEN x.c_nationkey + 100 WHEN m.n_regionkey = n.n_regionkey THEN m.n_regionkey + 1 ELSE 0 END AS ancestor,
+         (x.c_custkey % 5 + y.c_custkey % 5 + CASE WHEN x.c_nationkey = y.c_nationkey THEN 0 WHEN m.n_regionkey = n.n_regionkey THEN 4 ELSE 6 END)::DOUBLE AS distance
+       FROM customer x JOIN customer y ON y.c_custkey = x.c_custkey + 1 JOIN nation m ON m.n_nationkey = x.c_nationkey JOIN nation n ON n.n_nationkey = y.c_nationkey""",
+)
+def _distances(spark, sf):
+    c = _t(spark, sf, "customer")
+    other = c.select(F.col("c_custkey").alias("next"))
+    pairs = c.join(other, F.col("next") == F.col("c_custkey") + 1).select((F.col("c_custkey") + 1000).cast("bigint").alias("a"), (F.col("next") + 1000).cast("bigint").alias("b"))
+    return tree.common_ancestors(_geography(spark, sf), pairs)
+
+
 # --- A1 to A4 ------------------------------------------------------------------------------------
 
 _ISLANDS = """
@@ -352,17 +411,20 @@ def _records(spark, sf) -> DataFrame:
     )
 
 
-_RECORD_SQL = _DNA_SQL + "SELECT 'r' || doc_id AS read_id, {comment} AS comment, upper(s) AS sequence1, {n} AS n_qual FROM dna WHERE length(s) > 0"
+_RECORD_SQL = _DNA_SQL + "SELECT 'r' || doc_id AS read_id, {comment} AS comment, upper(s) AS sequence1, {n} FROM dna WHERE length(s) > 0"
+_QUAL_SQL = "length(s)::INT AS n_qual, list_sum(list_transform(range(1, length(s) + 1), lambda i: (i % 41) * (i % 7 + 1)))::BIGINT AS weighed"
 
 
-@query("s1_k1_fastq_round_trip", _RECORD_SQL.format(comment="'c'", n="length(s)::INT"))
+@query("s1_k1_fastq_round_trip", _RECORD_SQL.format(comment="'c'", n=_QUAL_SQL))
 def _fastq(spark, sf):
     path = scratch_path(spark, "x.fq.gz")
     sinks.write_fastq(_records(spark, sf), path, include_comment=True)
-    return fastx.read_fastx(spark, path).select("read_id", "comment", "sequence1", F.size("qual1").alias("n_qual"))
+    each = F.transform("qual1", lambda q, i: q.cast("bigint") * ((i + 1) % 7 + 1))  # every score and its place
+    weighed = F.aggregate(each, F.lit(0).cast("bigint"), lambda a, x: a + x).alias("weighed")
+    return fastx.read_fastx(spark, path).select("read_id", "comment", "sequence1", F.size("qual1").alias("n_qual"), weighed)
 
 
-@query("s1_k2_fasta_round_trip", _RECORD_SQL.format(comment="NULL::VARCHAR", n="NULL::INT"))
+@query("s1_k2_fasta_round_trip", _RECORD_SQL.format(comment="NULL::VARCHAR", n="NULL::INT AS n_qual"))
 def _fasta(spark, sf):
     path = scratch_path(spark, "x.fa")
     sinks.write_fasta(_records(spark, sf), path)
@@ -480,78 +542,154 @@ def _placements(spark, sf):
     return tree.best_placements_frame(rows).select("fragment_id", "edge_id", F.round("like_weight_ratio", 2).alias("ratio"), F.col("pendant_length").alias("pendant"))
 
 
-@query("k7_insert_placements", f"SELECT count(*) + 2 * (SELECT count(*) FROM supplier) AS n_nodes, count(*) FILTER (node_index >= 1000) + (SELECT count(*) FROM supplier) AS n_tips FROM ({_TREE_SQL})")
+_INSERT_SQL = f"""
+WITH t AS ({_TREE_SQL}),
+p AS (SELECT 'f' || s_suppkey AS fragment, s_nationkey + 100 AS edge, (s_suppkey % 4) / 2.0 AS distal, s_suppkey FROM supplier)
+SELECT name, branch_length, is_tip FROM (
+  SELECT t.name, CASE WHEN t.node_index BETWEEN 100 AND 999 THEN coalesce((SELECT min(distal) FROM p WHERE edge = t.node_index), t.branch_length) ELSE t.branch_length END AS branch_length,
+    t.node_index >= 1000 OR NOT EXISTS (FROM t c WHERE c.parent_index = t.node_index) AS is_tip FROM t
+  UNION ALL SELECT fragment, 0.1, true FROM p
+  UNION ALL SELECT NULL, coalesce(lag(distal) OVER (PARTITION BY edge ORDER BY distal DESC), 2.0) - distal, false FROM p)
+"""
+
+
+@query("k7_insert_placements", _INSERT_SQL)
 def _insert(spark, sf):
     t = _geography(spark, sf).withColumn("edge_id", F.col("node_index"))
     p = _t(spark, sf, "supplier").select(F.concat(F.lit("f"), F.col("s_suppkey").cast("string")).alias("fragment_id"), (F.col("s_nationkey") + 100).cast("bigint").alias("edge_id"), F.lit(1.0).alias("like_weight_ratio"), (F.col("s_suppkey") % 4 / 2).alias("distal_length"), F.lit(0.1).alias("pendant_length"))
     path = scratch_path(spark, "x.nwk")
     sinks.write_newick(t, path, placements=p)
-    return newick.read_newick(spark, path).agg(F.count("*").alias("n_nodes"), F.count_if("is_tip").alias("n_tips"))
+    return newick.read_newick(spark, path).select(F.when(F.col("name") != "", F.col("name")).alias("name"), "branch_length", "is_tip")
 
 
 # --- T1 to T8 ------------------------------------------------------------------------------------
 
 
-def _references(spark, sf, n: int = 6) -> DataFrame:
-    """A few long references: the nucleotides of some whole texts."""
-    rows = _t(spark, sf, "documents").select(F.concat(F.lit("ref"), F.col("doc_id").cast("string")).alias("read_id"), F.upper(F.regexp_replace("text", "[^ACGTacgt]", "")).alias("sequence1"))
-    return rows.where(F.length("sequence1") > 400).orderBy(F.desc(F.length("sequence1")), "read_id").limit(n)
+_LONG = 400
+_READ_SQL = f"FROM dna WHERE length(s) > {_LONG}"
+
+
+def _references(spark, sf) -> DataFrame:
+    """The nucleotides of every whole text that has enough of them."""
+    rows = _dna(spark, sf).select(F.concat(F.lit("ref"), F.col("doc_id").cast("string")).alias("read_id"), F.upper("s").alias("sequence1"))
+    return rows.where(F.length("sequence1") > _LONG)
 
 
 def _fragments(spark, sf) -> DataFrame:
-    return _references(spark, sf).select(F.concat(F.lit("q"), F.col("read_id")).alias("read_id"), F.substring("sequence1", 101, 150).alias("sequence1"))
+    """A read of 150 bases of each reference."""
+    return _spread(_references(spark, sf).select(F.concat(F.lit("q"), F.col("read_id")).alias("read_id"), F.substring("sequence1", 101, 150).alias("sequence1")))
+
+
+def _best_alignments(spark, sf, found: DataFrame) -> DataFrame:
+    """Every read's primary alignment, and whether the reference has the read where it says."""
+    first = found.where(F.col("flags").bitwiseAND(F.lit(0x900)) == 0)
+    subjects = _references(spark, sf).select(F.col("read_id").alias("reference"), F.col("sequence1").alias("subject"))
+    reads = _fragments(spark, sf).select("read_id", F.col("sequence1").alias("query"))
+    rows = first.join(subjects, "reference").join(reads, "read_id")
+    there = F.substring("subject", F.col("position").cast("int"), (F.col("stop_position") - F.col("position") + 1).cast("int"))
+    turned = F.when(F.col("flags").bitwiseAND(F.lit(0x10)) > 0, sequences.sequence_dna_reverse_complement("query")).otherwise(F.col("query"))
+    return rows.select("read_id", "cigar", "tag_as", "tag_nm", (there == turned).alias("is_there"))
+
 
+_BEST_SQL = _DNA_SQL + f"SELECT 'qref' || doc_id AS read_id, '150=' AS cigar, 300::BIGINT AS tag_as, 0::BIGINT AS tag_nm, true AS is_there {_READ_SQL}"
 
-@query("t1_align_minimap2")
+
+@query("t1_align_minimap2", _BEST_SQL)
 def _minimap2(spark, sf):
-    return align.align_minimap2(spark, _fragments(spark, sf), _references(spark, sf))
+    return _best_alignments(spark, sf, align.align_minimap2(spark, _fragments(spark, sf), _references(spark, sf)))
 
 
-@query("t2_save_index", "SELECT true AS success, 6::BIGINT AS num_subjects")
+@query("t2_save_index", _DNA_SQL + f"SELECT true AS success, count(*) AS num_subjects, count(*) AS num_read, sum(length(s))::BIGINT AS bases {_READ_SQL}")
 def _save_index(spark, sf):
-    return align.save_minimap2_index(spark, _references(spark, sf), scratch_path(spark, "x.mmi")).select("success", "num_subjects")
+    path = scratch_path(spark, "x.mmi")
+    done = align.save_minimap2_index(spark, _references(spark, sf), path).select("success", "num_subjects")
+    index = align.load_index(spark, path)
+    return done.withColumns({"num_read": F.lit(len(index.subjects)).cast("bigint"), "bases": F.lit(sum(len(x) for _, x in index.subjects)).cast("bigint")})
 
 
-@query("t3_align_sharded")
+@query("t3_align_sharded", _BEST_SQL)
 def _sharded(spark, sf):
     folder = scratch_path(spark, "shards")
-    align.save_minimap2_index(spark, _references(spark, sf), f"{folder}/a.mmi").count()
+    shard = lambda: F.pmod(F.xxhash64(F.regexp_extract("read_id", "ref.*", 0)), F.lit(4)).cast("string")
+    for k in "0123":
+        align.save_minimap2_index(spark, _references(spark, sf).where(shard() == k), f"{folder}/{k}.mmi")
     q = _fragments(spark, sf)
-    return align.align_minimap2_sharded(spark, q, folder, q.select("read_id", F.lit("a").alias("shard_name")))
+    return _best_alignments(spark, sf, align.align_minimap2_sharded(spark, q, folder, q.select("read_id", shard().alias("shard_name"))))
 
 
-@query("t4_bowtie2_arguments")
+@query(
+    "t4_bowtie2_arguments",
+    """SELECT * FROM (VALUES (0, 'bowtie2'), (1, '-x'), (2, 'index'), (3, '-q'), (4, '--interleaved'), (5, '-'), (6, '-p'), (7, '1'),
+       (8, '--sensitive-local'), (9, '-k'), (10, '3'), (11, '--quiet')) t(no, argument)""",
+)
 def _bowtie2_args(spark, sf):
     args = align.bowtie2_arguments("index", True, False, "sensitive", True, 1, 2, None, True)
     return spark.createDataFrame([(i, a) for i, a in enumerate(args)], "no int, argument string")
 
 
 def _bases(spark, sf) -> DataFrame:
-    return _dna(spark, sf).select(F.col("doc_id").cast("string").alias("read_id"), F.upper("s").alias("sequence1"))
+    return _spread(_dna(spark, sf).select(F.col("doc_id").cast("string").alias("read_id"), F.upper("s").alias("sequence1")))
+
+
+# Hashes of all 16-mers of sequences x (id, s), by prefix sums of their purine bits, and the least of each 8.
+_MINIMIZER_SQL = """
+bits AS (SELECT id, translate(s, 'ACGT', '1010') AS b, length(s) - 15 AS n FROM {x} WHERE length(s) >= 16),
+km AS (SELECT id, i, n, xor(substr(b, i::INT, 16)::BIT::BIGINT, 6148914691236517205::BIGINT) AS h FROM (SELECT id, b, n, unnest(range(1, n + 1)) AS i FROM bits)),
+w AS (SELECT id, i, n, min(h) OVER f AS m, arg_min(i, h) OVER f AS place FROM km WINDOW f AS (PARTITION BY id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+picked AS (SELECT id, m, place FROM w WHERE i <= greatest(n - 7, 1))
+"""
+_STRANDS_SQL = _DNA_SQL + """, strands AS (
+  SELECT doc_id::VARCHAR || '+' AS id, upper(s) AS s FROM dna UNION ALL SELECT doc_id::VARCHAR || '-', translate(reverse(upper(s)), 'ACGT', 'TGCA') FROM dna),
+"""
 
 
 @query(
     "t7_minimizer_set",
-    """WITH dna AS (SELECT doc_id, translate(upper(regexp_replace(substr(text, 1, 400), '[^ACGTacgt]', '', 'g')), 'ACGT', '1010') AS s FROM documents),
-    km AS (SELECT doc_id, i, xor(list_reduce(list_transform(range(16), lambda j: (substr(s, (i + j)::INT, 1))::BIGINT), lambda a, b: a * 2 + b), 6148914691236517205::BIGINT) AS h
-           FROM dna, range(1, 400) r(i) WHERE i + 15 <= length(s)),
-    w AS (SELECT doc_id, i, min(h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS m, max(i) OVER (PARTITION BY doc_id) AS last FROM km),
-    d AS (SELECT DISTINCT doc_id, m FROM w WHERE i <= greatest(last - 7, 1))
-    SELECT doc_id::VARCHAR AS read_id, m AS minimizer FROM d""",
+    _STRANDS_SQL + _MINIMIZER_SQL.format(x="strands") + " SELECT DISTINCT substr(id, 1, length(id) - 1) AS read_id, substr(id, -1) AS strand, m AS minimizer FROM picked",
 )
 def _minimizer_set(spark, sf):
     rows = minimizers.extract_minimizer_set(spark, _bases(spark, sf), 16, 8)
-    return rows.select("read_id", F.explode("fwd_set").alias("m")).select("read_id", F.col("m").cast("bigint").alias("minimizer"))
+    each = lambda c, strand: rows.select("read_id", F.lit(strand).alias("strand"), F.explode(F.transform(c, lambda h: h.cast("bigint"))).alias("minimizer"))
+    return each("fwd_set", "+").unionByName(each("rc_set", "-"))
 
 
-@query("t8_strand_minimizers")
+@query(
+    "t8_strand_minimizers",
+    _STRANDS_SQL + _MINIMIZER_SQL.format(x="strands") + """
+, sums AS (SELECT id, count(*) AS n, sum(place - 1)::BIGINT AS places, sum(m % 1000003)::BIGINT AS hashes FROM (SELECT DISTINCT id, m, place FROM picked) GROUP BY id)
+SELECT d.doc_id::VARCHAR AS read_id, coalesce(f.n, 0)::INT AS n_fwd, coalesce(r.n, 0)::INT AS n_rc, coalesce(f.places, 0) AS fwd_places, coalesce(r.places, 0) AS rc_places,
+  coalesce(f.hashes, 0) AS fwd_hashes, coalesce(r.hashes, 0) AS rc_hashes
+FROM dna d LEFT JOIN sums f ON f.id = d.doc_id || '+' LEFT JOIN sums r ON r.id = d.doc_id || '-'""",
+)
 def _strand(spark, sf):
-    letters = F.upper(F.regexp_replace("text", "[^ACGTacgt]", "")).alias("sequence1")
-    whole = _t(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("read_id"), letters)
-    return minimizers.extract_strand_minimizers(spark, whole, 16, 8).select("read_id", F.size("fwd_hashes").alias("n_fwd"), F.size("rc_positions").alias("n_rc"))
+    rows = minimizers.extract_strand_minimizers(spark, _bases(spark, sf), 16, 8)
+    total = lambda c: F.aggregate(c, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    hashes = lambda c: F.transform(c, lambda h: h.cast("bigint") % 1000003)
+    return rows.select(
+        "read_id",
+        F.size("fwd_hashes").alias("n_fwd"),
+        F.size("rc_positions").alias("n_rc"),
+        total("fwd_positions").alias("fwd_places"),
+        total("rc_positions").alias("rc_places"),
+        total(hashes("fwd_hashes")).alias("fwd_hashes"),
+        total(hashes("rc_hashes")).alias("rc_hashes"),
+    )
 
 
-@query("t6_classify")
+@query(
+    "t6_classify",
+    _DNA_SQL + """, strands AS (
+  SELECT doc_id || '+' AS id, upper(s) AS s FROM dna WHERE length(s) > 400
+  UNION ALL SELECT doc_id || 'f', substr(upper(s), 101, 150) FROM dna WHERE length(s) > 400
+  UNION ALL SELECT doc_id || 'r', translate(reverse(substr(upper(s), 101, 150)), 'ACGT', 'TGCA') FROM dna WHERE length(s) > 400),
+"""
+    + _MINIMIZER_SQL.format(x="strands")
+    + """, sets AS (SELECT DISTINCT substr(id, 1, length(id) - 1) AS d, substr(id, -1) AS side, m FROM picked),
+sizes AS (SELECT d, side, count(*) AS n FROM sets WHERE side <> '+' GROUP BY ALL),
+hits AS (SELECT q.d, q.side, x.d AS bucket, count(*) AS hits FROM sets q JOIN sets x ON q.m = x.m AND q.side <> '+' AND x.side = '+' GROUP BY ALL),
+scores AS (SELECT d, bucket, max(hits / n) AS score FROM hits JOIN sizes USING (d, side) GROUP BY ALL)
+SELECT 'qref' || d AS read_id, 'ref' || bucket AS bucket_name, round(score, 6) AS score FROM scores WHERE score >= 0.5""",
+)
 def _classify(spark, sf):
     path = scratch_path(spark, "x.index")
     minimizers.build_index(spark, _references(spark, sf), path, k=16, w=8)
@@ -594,4 +732,15 @@ _sql_query("r_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELEC
 _sql_query("r_unnest", "SELECT n_name, unnest(string_split(n_name, 'A')) AS part FROM nation", "SELECT n_name, explode(split(n_name, 'A')) AS part FROM nation")
 _sql_query("r_scalar_subquery", "SELECT r_name, (SELECT count(*) FROM nation WHERE n_regionkey = r_regionkey) AS n FROM region")
 _sql_query("r_recursive_cte", "WITH RECURSIVE t(n) AS (SELECT 1 UNION ALL SELECT n + 1 FROM t WHERE n < (SELECT count(*) FROM region)) SELECT n FROM t")
+_sql_query(
+    "r_list_builtins",
+    "SELECT o_orderkey, list_sum(list_transform([o_orderkey % 7, o_custkey % 5, 3], lambda x: x * 2))::BIGINT AS total, list_contains([o_orderkey % 7, 3], 3) AS has, len(list_filter([o_orderkey % 7, o_custkey % 5], lambda x: x > 2))::INT AS big, list_sort([o_orderkey % 7, o_custkey % 5])[1]::BIGINT AS least, array_to_string(list_distinct(['a', 'a']), '-') AS once FROM orders",
+    "SELECT o_orderkey, CAST(aggregate(transform(array(o_orderkey % 7, o_custkey % 5, 3), x -> x * 2), 0L, (a, x) -> a + x) AS BIGINT) AS total, array_contains(array(o_orderkey % 7, 3), 3) AS has, size(filter(array(o_orderkey % 7, o_custkey % 5), x -> x > 2)) AS big, CAST(array_sort(array(o_orderkey % 7, o_custkey % 5))[0] AS BIGINT) AS least, array_join(array_distinct(array('a', 'a')), '-') AS once FROM orders",
+)
+_sql_query(
+    "r_json_and_dates",
+    """SELECT o_orderkey, json_extract_string('{"k": ' || o_orderkey || ', "s": "' || o_orderstatus || '"}', '$.s') AS s, json_extract_string('{"k": ' || o_orderkey || '}', '$.k')::BIGINT AS k, try_cast('19' || (o_orderkey % 90 + 10) || '-02-29' AS DATE) AS leap FROM orders""",
+    """SELECT o_orderkey, get_json_object('{"k": ' || o_orderkey || ', "s": "' || o_orderstatus || '"}', '$.s') AS s, CAST(get_json_object('{"k": ' || o_orderkey || '}', '$.k') AS BIGINT) AS k, try_to_date('19' || (o_orderkey % 90 + 10) || '-02-29', 'yyyy-MM-dd') AS leap FROM orders""",
+)
+_sql_query("r_self_join_map", "SELECT a.p_partkey, count(*) AS n FROM (SELECT p_partkey, MAP {'brand': p_brand, 'size': p_size::VARCHAR} AS m FROM part) a JOIN (SELECT MAP {'brand': p_brand, 'size': p_size::VARCHAR} AS m FROM part) b ON a.m['brand'] = b.m['brand'] AND a.m['size'] = b.m['size'] GROUP BY a.p_partkey", "SELECT a.p_partkey, count(*) AS n FROM (SELECT p_partkey, map('brand', p_brand, 'size', CAST(p_size AS STRING)) AS m FROM part) a JOIN (SELECT map('brand', p_brand, 'size', CAST(p_size AS STRING)) AS m FROM part) b ON a.m['brand'] = b.m['brand'] AND a.m['size'] = b.m['size'] GROUP BY a.p_partkey")
 _sql_query("r_scalar_builtins", "SELECT n_name, round(abs(n_nationkey - 10.5), 2)::DOUBLE AS x, length(n_name)::BIGINT AS n, regexp_extract(n_name, '^[A-M]+', 0) AS head FROM nation", "SELECT n_name, CAST(round(abs(n_nationkey - 10.5), 2) AS DOUBLE) AS x, CAST(length(n_name) AS BIGINT) AS n, regexp_extract(n_name, '^[A-M]+', 0) AS head FROM nation")
