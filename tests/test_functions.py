@@ -70,6 +70,24 @@ def test_cigar_brute_force(spark):
         assert opens == sum(o in "ID" and (i == 0 or ops[i - 1][1] != o) for i, (_, o) in enumerate(ops))
 
 
+def test_cigar_totals_of_odd_texts():
+    import pyarrow as pa
+
+    rnd = random.Random(3)
+    texts = []
+    for _ in range(4000):
+        t = "".join(f"{rnd.choice([1, 2, 30, 999, 0 if rnd.random() < 0.02 else 7, 10 ** rnd.randint(0, 17)])}{rnd.choice('MIDNSHP=X')}" for _ in range(rnd.randint(0, 9)))
+        if rnd.random() < 0.1:
+            t = t[: rnd.randint(0, len(t))] + rnd.choice(["", "Z", "5", "é", "M", " ", "99999999999999999999M"]) + t[rnd.randint(0, len(t)) :]
+        texts.append(rnd.choice([None, "*", ""]) if rnd.random() < 0.02 else t)
+    whole = pa.array(texts)
+    for part in (whole, whole.slice(13, 500), whole.slice(3, 0)):
+        totals, problems = cigar.cigar_totals(part)
+        for i, t in enumerate(part.to_pylist()):
+            want, said = cigar._one(t or "")
+            assert totals[i].tolist() == want and problems.get(i) == said, t
+
+
 def test_md(spark):
     a, b = cigar.md_counts(F.col("m"))
     df = spark.createDataFrame([("14A3^CAG2^TG24",), ("5*4",), ("0A0C",)], "m string")
@@ -122,6 +140,20 @@ def test_pairwise_brute_force():
         assert cost == ops.count("X") * 4 + len(runs) * 6 + sum(ops.count(o) for o in "ID") * 2
 
 
+def test_pairwise_groups(monkeypatch):
+    rnd = random.Random(4)
+    text = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    q = [text(rnd.randint(0, 20)) for _ in range(120)] + ["é好", "", "A" * 300]
+    s = [text(rnd.randint(0, 20)) for _ in range(120)] + ["é坏x", "", "A" * 290]
+    for penalties in ((4, 6, 2), (1, 0, 1), (2**29, 1, 1)):
+        want = [pairwise.align(a, b, *penalties) for a, b in zip(q, s)]
+        monkeypatch.setattr(pairwise, "CELLS", 2000)  # many groups, some of one pair
+        assert list(zip(*pairwise.align_all(q, s, *penalties))) == want
+        monkeypatch.setattr(pairwise, "CELLS", 1 << 25)
+        assert list(zip(*pairwise.align_all(q, s, *penalties))) == want
+        assert pairwise.align_all(q, s, *penalties, trace=False)[0] == [c for c, _ in want] == [_gotoh(a, b, *penalties) for a, b in zip(q[:122], s[:122])] + [want[-1][0]]
+
+
 def test_pairwise_columns(spark):
     df = spark.createDataFrame([("ACGT", "ACGT"), ("ACGT", "ACAT"), ("", ""), (None, "A"), ("ACGTT", "ACT")], "q string, s string")
     rows = df.select(pairwise.align_pairwise_score("q", "s").alias("n"), pairwise.align_pairwise_cigar("q", "s").alias("c"), pairwise.align_pairwise_full("q", "s").alias("f")).collect()

@@ -27,6 +27,7 @@ def test_intervals(spark):
     want = {k: _merge([r[1:] for r in rows if r[0] == k]) for k in {r[0] for r in rows}}
     got = sorted(tuple(r) for r in intervals.compress_intervals(df, "k").collect())
     assert got == sorted((k, *x) for k, v in want.items() for x in v)
+    assert sorted(tuple(r) for r in intervals.compress_intervals(df, "k", stretch=7).collect()) == got
     lists = {r.k: r.intervals and [tuple(x) for x in r.intervals] for r in intervals.compress_intervals_list(df, "k").collect()}
     assert lists == {k: v or None for k, v in want.items()}
     from pyspark.sql import functions as F
@@ -128,6 +129,53 @@ def test_placements():
             tree.insert_placements(root, [bad])
 
 
+def test_placements_on_an_edge_without_length():
+    root = tree.parse_newick("((A{0},B:2{1}):3{2},C:4{3});")
+    p = [tree.Placement("f1", 0, 0.9, 5.0, 0.5), tree.Placement("f2", 0, 0.9, 1.5, 0.1)]
+    got = {n.name: n for n in tree.preorder(tree.insert_placements(root, p))}
+    assert got["A"].length == 1.5 and got["f2"].parent.length == 3.5 and got["f1"].parent.length != got["f1"].parent.length
+    with pytest.raises(ValueError, match="exceeds edge length"):  # no slack
+        tree.insert_placements(tree.parse_newick("(A:1{0},B:2{1});"), [tree.Placement("f", 0, 1, 1 + 1e-12, 0)])
+    with pytest.raises(ValueError, match="Too many placements"):
+        tree.check_node_limit(4294967290, 3)
+
+
+def test_best_placements_of_a_relation(spark):
+    rnd = random.Random(8)
+    rows = [(f"f{rnd.randint(0, 30)}", rnd.randint(0, 9), rnd.choice([0.5, 0.5 + 5e-10, 0.7]), 0.1, rnd.choice([0.1, 0.2, 0.3])) for _ in range(300)] + [(None, 1, 1.0, 0.0, 0.0)]
+    df = spark.createDataFrame(rows, "fragment_id string, edge_id long, like_weight_ratio double, distal_length double, pendant_length double")
+    got = {r.fragment_id: (r.pendant_length, r.edge_id) for r in tree.best_placements_frame(df).collect()}
+    want = {}
+    for f in {r[0] for r in rows if r[0]}:
+        mine = [r for r in rows if r[0] == f]
+        most = max(r[2] for r in mine)
+        want[f] = min((r[4], r[1]) for r in mine if r[2] >= most - 1e-9)
+    assert got == want
+
+
+def test_tree_relations(spark):
+    rnd = random.Random(9)
+    parent = {0: None} | {i: max(0, i - rnd.choice([1, 1, 1, 2, 30])) for i in range(1, 300)}  # deep
+    length = {i: rnd.choice([None, 0.5, 1.0, 2.0]) for i in parent}
+    df = spark.createDataFrame([(i, length[i], p) for i, p in parent.items()], "node_index long, branch_length double, parent_index long")
+
+    def path(i):
+        return [i] if parent[i] is None else [i, *path(parent[i])]
+
+    root = lambda i: sum(length[x] or 0 for x in path(i)[:-1])
+    got = {r.node_index: (r.depth, r.distance_to_root) for r in tree.depths(df).collect()}
+    assert got == {i: (len(path(i)) - 1, root(i)) for i in parent}
+    assert {r.node_index for r in tree.tip_rows(df).collect()} == set(parent) - set(parent.values())
+    pairs = [(rnd.randrange(300), rnd.randrange(300)) for _ in range(60)] + [(7, 7), (0, 250)]
+    rows = tree.common_ancestors(df, spark.createDataFrame(pairs, "a long, b long")).collect()
+    assert sorted((r.a, r.b) for r in rows) == sorted(pairs)
+    for r in rows:
+        common = next(x for x in path(r.a) if x in set(path(r.b)))
+        assert r.ancestor == common and abs(r.distance - (root(r.a) + root(r.b) - 2 * root(common))) < 1e-9
+    with pytest.raises(ValueError, match="cycle"):
+        tree.depths(spark.createDataFrame([(0, 1.0, 1), (1, 1.0, 0)], "node_index long, branch_length double, parent_index long"))
+
+
 def test_build_tree_errors():
     for rows, said in (
         ([], "empty"),
@@ -188,6 +236,32 @@ def test_align_errors(spark, tmp_path):
     assert align.bowtie2_arguments("i", True, True, "fast", True, 1, 2, "--a b", True) == ["bowtie2", "-x", "i", "-f", "--interleaved", "-", "-p", "1", "--fast-local", "-k", "3", "--quiet", "--a", "b"]
 
 
+def test_index_holds_its_minimizers(spark, tmp_path):
+    rnd = random.Random(10)
+    refs = [(f"r{i}", "".join(rnd.choice("ACGT") for _ in range(rnd.randint(0, 400)))) for i in range(9)]
+    path = str(tmp_path / "x.mmi")
+    align.save_minimap2_index(spark, spark.createDataFrame(refs, "read_id string, sequence1 string").repartition(3), path, k=15, w=5)
+    want = align.Index(sorted(refs), 15, 5)
+    for index in (align.load_index(spark, path), align.task_index(path)):
+        assert index.subjects == want.subjects and (index.k, index.w) == (15, 5)
+        assert all((getattr(index, c) == getattr(want, c)).all() for c in ("hashes", "subject", "place"))
+    kinds = {f.name for f in spark.read.parquet(f"{path}/minimizers").schema}
+    assert kinds == {"hash", "subject", "place"}
+    with pytest.raises(ValueError, match="align in shards"):
+        align._check_size(align.MOST_SUBJECT_BASES + 1, "x")
+
+
+def test_one_shard_with_most_reads(spark, tmp_path):
+    rnd = random.Random(11)
+    refs = [(f"r{i}", "".join(rnd.choice("ACGT") for _ in range(300))) for i in range(4)]
+    for i in range(4):
+        align.save_minimap2_index(spark, spark.createDataFrame(refs[i : i + 1], "read_id string, sequence1 string"), f"{tmp_path}/s{i}.mmi")
+    reads = [(f"q{i}", refs[0 if i % 10 else i // 10 % 4][1][i % 100 : i % 100 + 120]) for i in range(200)]
+    to = [(f"q{i}", f"s{0 if i % 10 else i // 10 % 4}") for i in range(200)]
+    got = align.align_minimap2_sharded(spark, spark.createDataFrame(reads, "read_id string, sequence1 string"), str(tmp_path), spark.createDataFrame(to, "read_id string, shard_name string"), max_secondary=0).collect()
+    assert sorted((r.read_id, r.reference, r.position, r.cigar) for r in got) == sorted((f"q{i}", f"r{0 if i % 10 else i // 10 % 4}", i % 100 + 1, "120=") for i in range(200))
+
+
 def test_extend_is_optimal():
     rnd = np.random.default_rng(8)
     for _ in range(40):
