@@ -3,7 +3,9 @@
 log P(word | context) = log P(class | context) + log P(word | class). The class factor is a softmax
 over CLASSES whose logits add up hashed weight rows of the bigram, trigram and skip contexts and a
 bias. The word factor is the closed-form maximum-likelihood solution of a softmax of biases only:
-relative counts, discounted by the class's share of words seen once, which goes to unseen words.
+relative counts, discounted by the class's share of words seen once, which goes to unseen words. All
+unseen words of a class are one symbol, as they are one in the unigram base, so that the symbols'
+probabilities sum to one after every context. Context thus tells classes apart, not the words of one.
 Classes are stretches of equal training mass of word endings, so they need no vocabulary.
 
 Words are known by a 64-bit polynomial hash computed over whole byte blocks; with V distinct
@@ -65,9 +67,12 @@ def word_hashes(flat: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 class Block:
-    """Tokens of some rows: hash, ending (-1 for the end token), row of each, and which begin a text."""
+    """Tokens of some rows: hash, ending (-1 for the end token), row of each, and which begin a text.
 
-    def __init__(self, pieces: list[tuple[int, bytes, bool]]):
+    ``before`` has the last two tokens ahead of the first piece where that goes on with a text.
+    """
+
+    def __init__(self, pieces: list[tuple[int, bytes, bool]], before: tuple[np.uint64, np.uint64] | None = None):
         flat = np.frombuffer(b" ".join(p[1] for p in pieces).translate(LOWER_BYTES), np.uint8)
         sizes = np.array([len(p[1]) + 1 for p in pieces])
         at = np.cumsum(sizes) - sizes
@@ -85,13 +90,19 @@ class Block:
         first = np.zeros(n, bool)
         begin = (np.cumsum(words) - words + ends_before)[(words > 0) | last]
         first[begin] = True
-        self.first = first
+        if before is not None and n:
+            first[0] = False
+        self.first, self.before = first, before or (BEGIN, BEGIN)
+
+    def previous(self) -> np.ndarray:
+        one = np.concatenate([[self.before[0]], self.hash[:-1]])[: len(self.hash)]
+        one[self.first] = BEGIN
+        return one
 
     def features(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Weight rows of the bigram, trigram and skip context of each token, each from 0."""
-        one = np.concatenate([[BEGIN], self.hash[:-1]])
-        one[self.first] = BEGIN
-        two = np.concatenate([[BEGIN], one[:-1]])
+        one = self.previous()
+        two = np.concatenate([[self.before[1]], one[:-1]])[: len(one)]
         two[self.first] = BEGIN
         cut = lambda h, size: (h >> np.uint64(65 - size.bit_length())).astype(np.uint16)
         return (
@@ -105,14 +116,20 @@ _space = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def blocks(column: pa.Array):
-    """Blocks of about BLOCK bytes; a longer text is cut at white space, and its contexts begin anew there."""
+    """Blocks of about BLOCK bytes; a longer text is cut at white space, and its contexts go on over the cuts."""
     held, size = [], 0
     for i in range(len(column)):
         text = column[i].as_py() or b""
-        at = 0
+        at, before = 0, None
         while len(text) - at > SEGMENT and (m := _space.search(text, at + SEGMENT)):
-            yield Block([(i, text[at : m.start()], False)])
+            x = Block([(i, text[at : m.start()], False)], before)
+            if len(x.hash):
+                before = x.hash[-1], x.previous()[-1]
+                yield x
             at = m.end()
+        if before is not None:
+            yield Block([(i, text[at:], True)], before)
+            continue
         held.append((i, text[at:], True))
         size += len(text) - at
         if size >= BLOCK:
@@ -217,46 +234,61 @@ def train_round(rows: DataFrame, start: np.ndarray, table: np.ndarray) -> np.nda
     return out
 
 
+class Model:
+    """What was learnt: class weights, class of each ending, word counts (a table), and the word factor's logarithms."""
+
+    def __init__(self, train: DataFrame):
+        """Count the words of ``train`` (text, slot) and descend over all its rows, a seventh at first."""
+        self.counts = counts = materialize(count_words(train), "word-counts")
+        per = counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).toArrow()  # 65,537 endings at most
+        ending, n, v, once = (per[c].to_numpy().astype(np.int64) for c in ("ending", "n", "v", "once"))
+        self.total, self.distinct = int(n.sum()), int(v.sum())
+        mass = np.zeros(65536)
+        mass[ending[ending >= 0]] = n[ending >= 0]
+        self.table = _classes(mass)
+        cls = class_of(ending, self.table)
+        n_class, once_class = np.bincount(cls, n, CLASSES), np.bincount(cls, once, CLASSES)
+        unseen = (once_class + 0.5) / (n_class + 1.0)
+        unseen = np.where(n_class > 0, np.minimum(unseen, 0.999), 1.0)
+        self.log_unseen, self.log_seen = np.log10(unseen), np.log10(np.where(n_class > 0, (1 - unseen) / np.maximum(n_class, 1), 1.0))
+
+        # the least count whose words and all more frequent ones are HEAD at most, on a logarithmic scale
+        self.step = F.floor(F.log2("n") * 16)
+        tiers = sorted(((r.step, r.v) for r in counts.groupBy(self.step.alias("step")).agg(F.count("*").alias("v")).collect()), reverse=True)
+        self.least_step, held = 64 * 16, 0
+        for s, k in tiers:
+            if held + k > HEAD:
+                break
+            self.least_step, held = s, held + k
+        head = counts.withColumn("step", self.step).where(F.col("step") >= self.least_step).select("word", "n").toArrow()
+        words = head["word"].to_numpy().view(np.uint64)
+        order = np.argsort(words)
+        self.words, self.freq = words[order], head["n"].to_numpy()[order]
+
+        weights = np.zeros((ROWS, CLASSES), np.float32)
+        weights[-1] = np.log(np.maximum(n_class, 0.5) / max(1, self.total))
+        weights = train_round(train.where("slot = 0"), weights, self.table)
+        self.weights = train_round(train.where("slot <> 0"), weights, self.table)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row.
 
     Texts are lower-cased by A-Z; a null or empty text is just its end token. With nothing to learn
-    from, every token is unseen. Repeated rows are learned from and scored as often as they occur.
+    from, every token is unseen. score takes all unseen words of a class as one symbol, as base_score
+    takes all unseen words. Repeated rows are learned from and scored as often as they occur; a null
+    doc_id is learned from; extra columns are ignored; no rows give no rows.
     """
-    spark = docs.sparkSession
     rows = _rows(docs)
-    train = rows.where("slot <> 2")
-    counts = materialize(count_words(train), "word-counts")
-    per = counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).toArrow()  # 65,537 endings at most
-    ending, n, v, once = (per[c].to_numpy().astype(np.int64) for c in ("ending", "n", "v", "once"))
-    total, distinct = int(n.sum()), int(v.sum())
-    mass = np.zeros(65536)
-    mass[ending[ending >= 0]] = n[ending >= 0]
-    table = _classes(mass)
-    cls = class_of(ending, table)
-    n_class, once_class = np.bincount(cls, n, CLASSES), np.bincount(cls, once, CLASSES)
-    unseen = (once_class + 0.5) / (n_class + 1.0)
-    unseen = np.where(n_class > 0, np.minimum(unseen, 0.999), 1.0)
-    log_unseen, log_seen = np.log10(unseen), np.log10(np.where(n_class > 0, (1 - unseen) / np.maximum(n_class, 1), 1.0))
-
-    # the least count whose words and all more frequent ones are HEAD at most, on a logarithmic scale
-    step = F.floor(F.log2("n") * 16)
-    tiers = sorted(((r.step, r.v) for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("v")).collect()), reverse=True)
-    least_step, held = 64 * 16, 0
-    for s, k in tiers:
-        if held + k > HEAD:
-            break
-        least_step, held = s, held + k
-    head = counts.withColumn("step", step).where(F.col("step") >= least_step).select("word", "n").toArrow()
-    words = head["word"].to_numpy().view(np.uint64)
-    order = np.argsort(words)
-    words, freq = words[order], head["n"].to_numpy()[order]
-
-    weights = np.zeros((ROWS, CLASSES), np.float32)
-    weights[-1] = np.log(np.maximum(n_class, 0.5) / max(1, total))
-    weights = train_round(train.where("slot = 0"), weights, table)
-    weights = train_round(train.where("slot <> 0"), weights, table)
-    shared = spark.sparkContext.broadcast((weights, table, words, freq, log_seen))
+    return measured(rows, Model(rows.where("slot <> 2")))
+
+
+def measured(rows: DataFrame, model: Model) -> DataFrame:
+    """``score``'s columns of ``rows`` (doc_id, text, slot) by a model."""
+    spark = rows.sparkSession
+    counts, step, least_step, total, distinct = model.counts, model.step, model.least_step, model.total, model.distinct
+    log_seen, log_unseen = model.log_seen, model.log_unseen
+    shared = spark.sparkContext.broadcast((model.weights, model.table, model.words, model.freq, log_seen))
 
     def measure(batches):
         w, table, words, freq, log_seen = shared.value

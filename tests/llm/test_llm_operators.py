@@ -343,6 +343,69 @@ def test_language_model_learns(spark):
     assert (got.a - got.b) / got.n > 0.15  # the language of a text is worth log10(2) a word at the most
 
 
+_M64 = 2**64 - 1
+
+
+def _mixed(h):
+    h ^= h >> 32
+    h = h * 0xD6E8FEB86659FD93 & _M64
+    return h ^ h >> 32
+
+
+def _word(w):
+    return int(maxent.END) if w is None else _mixed(sum((b + 1) * pow(maxent._MUL, i, 2**64) for i, b in enumerate(w)) & _M64)
+
+
+def _log_probability(model, counts, text):
+    """The text's log10 probability, token by token."""
+    out, one, two = 0.0, int(maxent.BEGIN), int(maxent.BEGIN)
+    for w in [*WORD.findall(lower((text or "").encode())), None]:
+        rows = [
+            _mixed(one * 0xA24BAED4963EE407 & _M64) >> 51,
+            maxent.BASES[1] + (_mixed((one * 0x9FB21C651E98DF25 + two * 0xC2B2AE3D27D4EB4F) & _M64) >> 50),
+            maxent.BASES[2] + (_mixed(two * 0xFF51AFD7ED558CCD & _M64) >> 51),
+            maxent.ROWS - 1,
+        ]
+        z = model.weights[rows].sum(axis=0, dtype=np.float64)
+        ending = -1 if w is None else w[-1] * 256 + (w[-2] if len(w) > 1 else 0)
+        c = 0 if w is None else int(model.table[ending])
+        out += (z[c] - np.logaddexp.reduce(z)) / math.log(10)
+        n = counts.get(_word(w))
+        out += model.log_seen[c] + math.log10(n) if n else model.log_unseen[c]
+        one, two = _word(w), one
+    return out
+
+
+def test_language_model_score_by_brute_force(spark, odd, monkeypatch):
+    monkeypatch.setattr(maxent, "HEAD", 40)  # most words are joined
+    rows = maxent._rows(docs(spark, [r for r in odd if r[0] is not None])).persist()
+    model = maxent.Model(rows.where("slot <> 2"))
+    counts = {r.word & _M64: r.n for r in model.counts.collect()}
+    assert 0 < len(model.words) < len(counts) / 2 and abs(model.weights[:-1]).max() > 0
+    by: dict = {}
+    for i, t, _ in odd:
+        by.setdefault(i, t)
+    for r in maxent.measured(rows, model).collect():
+        assert abs(r.score - _log_probability(model, counts, by[r.doc_id])) < 1e-4 * max(1, abs(r.score))
+    # the words of a class and its unseen one have all its probability
+    mass: Counter = Counter()
+    for r in model.counts.collect():
+        mass[0 if r.ending < 0 else int(model.table[r.ending])] += r.n
+    assert all(abs(10 ** model.log_unseen[c] + n * 10 ** model.log_seen[c] - 1) < 1e-9 for c, n in mass.items())
+
+
+def test_contexts_go_on_over_cuts(monkeypatch):
+    import pyarrow as pa
+
+    text = b" ".join(b"w%d" % (i % 50) for i in range(400)) + b"   "
+    whole = list(maxent.blocks(pa.array([b"x y", text, b"", b"z"], pa.binary())))
+    monkeypatch.setattr(maxent, "SEGMENT", 64)
+    cut = list(maxent.blocks(pa.array([b"x y", text, b"", b"z"], pa.binary())))
+    assert len(cut) > 10 > len(whole)
+    key = lambda bs: sorted((int(r), int(h), *f) for x in bs for r, h, *f in zip(x.row, x.hash, *(k.tolist() for k in x.features())))
+    assert key(cut) == key(whole)
+
+
 def test_word_hashes():
     text = b"the cat  the\tcat\n sat a x"
     starts, h, ending = maxent.word_hashes(np.frombuffer(text, np.uint8))

@@ -1,10 +1,12 @@
 """The registered queries against DuckDB, and the pipeline stage by stage."""
 
 import os
+import re
+from collections import Counter
 
 import pytest
 
-from lichenmill.llm import exact, oracles, queries
+from lichenmill.llm import _common, exact, oracles, queries, simhash
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
@@ -43,3 +45,46 @@ def test_pipeline_stages(spark):
             assert exact.exact_groups(docs).where("group_size > 1").count() == 0
         before = after
     assert docs.columns[:3] == ["doc_id", "start", "length"]
+
+
+def _similar_by_brute_force(rows, similarity=0.8, k=5):
+    """doc_id to the smallest doc_id that links of similar texts lead to; candidates share a shingle."""
+    shingles = {}
+    for i, text in rows:
+        words = re.findall(rb"[^\x20\x09-\x0D]+", text.encode().translate(_common.LOWER_BYTES))
+        shingles[i] = {tuple(words[a : a + k]) for a in range(max(1, len(words) - k + 1))}
+    holders: dict = {}
+    for i, s in shingles.items():
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    root = {i: i for i in shingles}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    n_links = 0
+    for i, s in shingles.items():
+        both = Counter(j for x in s for j in holders[x] if j < i)
+        for j, n in both.items():
+            if n / (len(s) + len(shingles[j]) - n) >= similarity:
+                n_links += 1
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    return {i: find(i) for i in root}, n_links
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_near_duplicates_of_the_documents(spark, sf):
+    """Whole tables against all pairs that share a shingle."""
+    path = f"/root/testdata/{sf}/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test data")
+    queries.configure(spark)
+    docs = spark.read.parquet(path)
+    docs = exact.drop_exact(docs) if sf == "sf0.1" else docs
+    rows = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+    want, n_links = _similar_by_brute_force(rows)
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs).collect()}
+    assert n_links > 10 and got == want
