@@ -222,8 +222,12 @@ def exact_groups(docs: DataFrame, keep: str = "largest") -> DataFrame:
 
 
 def drop_exact(docs: DataFrame, keep: str = "largest") -> DataFrame:
-    """The rows of ``docs`` that stay, with their columns; one of repeated rows."""
-    kept = exact_groups(docs, keep).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
-    keyed = docs.withColumn("__key", F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))
-    found = keyed.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__sha")))
-    return found.dropDuplicates(["__id", "__sha"]).select(*docs.columns)
+    """The rows of ``docs`` that stay, with their columns; one of repeated rows.
+
+    A null text is empty; rows without a doc_id stay only where their whole group has none, and then one does.
+    """
+    key = lambda sha: F.concat_ws(":", sha, F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")))
+    kept = exact_groups(docs, keep).where("kept").select(key(F.col("text_sha256")).alias("__key")).distinct()
+    # both steps need the rows dealt by one key, so texts are shuffled once
+    one = docs.withColumn("__key", key(F.sha2(F.coalesce(F.col("text"), F.lit("")).cast("binary"), 256))).dropDuplicates(["__key"])
+    return one.join(kept, "__key", "left_semi").select(*docs.columns)
