@@ -1,12 +1,14 @@
 """Language model: hashed maximum entropy with n-gram and skip features and a class-factored softmax.
 
-log P(word | context) = log P(class | context) + log P(word | class). The class factor is a softmax
-over CLASSES whose logits add up hashed weight rows of the bigram, trigram and skip contexts and a
-bias. The word factor is the closed-form maximum-likelihood solution of a softmax of biases only:
-relative counts, discounted by the class's share of words seen once, which goes to unseen words. All
-unseen words of a class are one symbol, as they are one in the unigram base, so that the symbols'
-probabilities sum to one after every context. Context thus tells classes apart, not the words of one.
-Classes are stretches of equal training mass of word endings, so they need no vocabulary.
+log P(word | context) = log P(class | context) + log P(cell | class, context) + log P(word | cell). The
+class factor is a softmax over CLASSES whose logits add up hashed weight rows of the bigram, trigram
+and skip contexts and a bias; the cell factor one over the CELLS of the class, whose logits are the
+hashed weight row of the class and the word before, and the class's biases. The word factor is the
+closed-form maximum-likelihood solution of a softmax of biases only: relative counts, discounted by
+the cell's share of words seen once, which goes to unseen words. All unseen words of a cell are one
+symbol, as they are one in the unigram base, so that the symbols' probabilities sum to one after every
+context. Classes are stretches of equal training mass of word endings and cells are bits of the word's
+hash, so neither needs a vocabulary.
 
 Words are known by a 64-bit polynomial hash computed over whole byte blocks; with V distinct
 words, V * V / 2**65 pairs are expected to collide (3e-4 for a hundred million).
@@ -28,6 +30,9 @@ CLASSES = 32
 SIZES = (1 << 13, 1 << 14, 1 << 13)
 BASES = (0, SIZES[0], SIZES[0] + SIZES[1])
 ROWS = sum(SIZES) + 1
+#: Cells of a class, and their weight rows: class and word before, then one row of biases for each class.
+CELLS, CELL_SIZE = 16, 1 << 15
+CELL_ROWS = CELL_SIZE + CLASSES
 #: Words frequent enough to be broadcast with their counts; the others are joined.
 HEAD = 1 << 18
 BLOCK, SEGMENT, BATCH, RATE = 1 << 20, 1 << 22, 4096, 0.15
@@ -112,6 +117,17 @@ class Block:
         )
 
 
+def cell_rows(previous: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Weight row of the cell factor of each token, from the word before it and its class."""
+    h = _mix(previous * np.uint64(0xB492B66FBE98F273) + classes.astype(np.uint64) * np.uint64(0x9AE16A3B2F90404F))
+    return (h >> np.uint64(65 - CELL_SIZE.bit_length())).astype(np.int64)
+
+
+def cell_of(hashes: np.ndarray) -> np.ndarray:
+    """Cell of each word in its class; the end token is alone in its class, whose cell factor is 1."""
+    return (hashes >> np.uint64(9)).astype(np.int64) & (CELLS - 1)
+
+
 _space = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -189,68 +205,102 @@ def probabilities(w: np.ndarray, f: tuple) -> np.ndarray:
     return z
 
 
-def train_round(rows: DataFrame, start: np.ndarray, table: np.ndarray) -> np.ndarray:
-    """One pass over ``rows``: each task descends from ``start`` on its own rows, and the moves are averaged
-    by weight row, each task counting as often as it met the row. The averaging is a grouped sum."""
+def cell_probabilities(w: np.ndarray, rows: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Probabilities of the cells of each token's class."""
+    z = w[rows] + w[CELL_SIZE + classes]
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+class _Descent:
+    """Weights that descend, with what each row has moved by and how often it was met."""
+
+    def __init__(self, start: np.ndarray):
+        self.start, self.w = start, start.copy()
+        self.square, self.met = np.full(len(start), 1e-2, np.float32), np.zeros(len(start), np.int64)
+
+    def step(self, rows: np.ndarray, g: np.ndarray) -> None:
+        """Move each row by its summed gradient."""
+        order = np.argsort(rows, kind="stable")
+        sorted_ = rows[order]
+        cut = np.concatenate([[0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1])
+        move, row = np.add.reduceat(g[order], cut, axis=0), sorted_[cut].astype(np.int64)
+        self.square[row] += np.einsum("ij,ij->i", move, move) / g.shape[1]
+        self.w[row] -= (RATE / np.sqrt(self.square[row]))[:, None] * move
+        self.met[row] += np.diff(np.append(cut, len(rows)))
+
+    def moves(self, base: int):
+        """(row from ``base``, times met, moves weighed by these), of CLASSES columns."""
+        row = np.flatnonzero(self.met)
+        delta = np.zeros((len(row), CLASSES), np.float32)
+        delta[:, : self.w.shape[1]] = (self.w - self.start)[row] * self.met[row][:, None]
+        for a in range(0, len(row), 4096):
+            z = slice(a, a + 4096)
+            yield row[z] + base, self.met[row[z]], delta[z]
+
+
+def train_round(rows: DataFrame, start: tuple[np.ndarray, np.ndarray], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One pass over ``rows``: each task descends from ``start`` (class and cell weights) on its own rows, and the
+    moves are averaged by weight row, each task counting as often as it met the row. The averaging is a grouped sum."""
     spark = rows.sparkSession
     shared = spark.sparkContext.broadcast((start, table))
     names = [f"d{i}" for i in range(CLASSES)]
 
     def descend(batches):
         start, table = shared.value
-        w, square, met = start.copy(), np.full(ROWS, 1e-2, np.float32), np.zeros(ROWS, np.int64)
+        top, low = map(_Descent, start)
         for b in batches:
             for x in blocks(b.column(0)):
-                f, y = x.features(), class_of(x.ending, table)
+                f, y, previous, cell = x.features(), class_of(x.ending, table).astype(np.int64), x.previous(), cell_of(x.hash)
                 for a in range(0, len(y), BATCH):
-                    part = tuple(k[a : a + BATCH] for k in f)
-                    g = probabilities(w, part)
-                    g[np.arange(len(g)), y[a : a + BATCH]] -= 1
+                    z = slice(a, a + BATCH)
+                    part = tuple(k[z] for k in f)
+                    g = probabilities(top.w, part)
+                    g[np.arange(len(g)), y[z]] -= 1
                     for k, base in zip(part, BASES):
-                        order = np.argsort(k, kind="stable")
-                        sorted_ = k[order]
-                        cut = np.concatenate([[0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1])
-                        move, row = np.add.reduceat(g[order], cut, axis=0), sorted_[cut].astype(np.int64) + base
-                        square[row] += np.einsum("ij,ij->i", move, move) / CLASSES
-                        w[row] -= (RATE / np.sqrt(square[row]))[:, None] * move
-                        met[row] += np.diff(np.append(cut, len(k)))
-                    move = g.sum(axis=0)
-                    square[-1] += move @ move / CLASSES
-                    w[-1] -= RATE / np.sqrt(square[-1]) * move
-                    met[-1] += len(g)
-        row = np.flatnonzero(met)
-        delta = (w - start)[row] * met[row][:, None]
-        for a in range(0, len(row), 4096):
-            z = slice(a, a + 4096)
-            yield pa.RecordBatch.from_arrays([pa.array(row[z].astype(np.int32)), pa.array(met[row[z]]), *(pa.array(delta[z, i].astype(np.float32)) for i in range(CLASSES))], ["row", "met", *names])
+                        top.step(k.astype(np.int32) + np.int32(base), g)
+                    top.step(np.full(1, ROWS - 1), g.sum(axis=0, keepdims=True))
+                    top.met[-1] += len(g) - 1
+                    inner = np.flatnonzero(y[z] > 0) + a
+                    if len(inner):
+                        own, kind = cell_rows(previous[inner], y[inner]), y[inner]
+                        g = cell_probabilities(low.w, own, kind)
+                        g[np.arange(len(g)), cell[inner]] -= 1
+                        low.step(own, g)
+                        low.step(CELL_SIZE + kind, g)
+        for half, base in ((top, 0), (low, ROWS)):
+            for row, met, delta in half.moves(base):
+                yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(met), *(pa.array(delta[:, i]) for i in range(CLASSES))], ["row", "met", *names])
 
     moved = rows.select("text").mapInArrow(descend, f"row int, met long, {', '.join(f'{n} float' for n in names)}")
-    total = moved.groupBy("row").agg(F.sum("met").alias("met"), *[F.sum(n).alias(n) for n in names]).toArrow()  # ROWS rows at most
-    out = start.copy()
+    total = moved.groupBy("row").agg(F.sum("met").alias("met"), *[F.sum(n).alias(n) for n in names]).toArrow()  # ROWS + CELL_ROWS rows at most
+    out = np.zeros((ROWS + CELL_ROWS, CLASSES), np.float32)
     if total.num_rows:
         row, met = total["row"].to_numpy(), total["met"].to_numpy()
         out[row] += np.stack([total[n].to_numpy() for n in names], axis=1).astype(np.float32) / met[:, None]
     shared.unpersist()
-    return out
+    return start[0] + out[:ROWS], start[1] + out[ROWS:, :CELLS]
 
 
 class Model:
-    """What was learnt: class weights, class of each ending, word counts (a table), and the word factor's logarithms."""
+    """What was learnt: class and cell weights, class of each ending, word counts (a table), and the word factor's logarithms by class and cell."""
 
     def __init__(self, train: DataFrame):
         """Count the words of ``train`` (text, slot) and descend over all its rows, a seventh at first."""
         self.counts = counts = materialize(count_words(train), "word-counts")
-        per = counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).toArrow()  # 65,537 endings at most
-        ending, n, v, once = (per[c].to_numpy().astype(np.int64) for c in ("ending", "n", "v", "once"))
+        own = F.shiftrightunsigned("word", 9).bitwiseAND(F.lit(CELLS - 1).cast("long")).cast("int").alias("cell")
+        per = counts.groupBy("ending", own).agg(F.sum("n").alias("n"), F.count("*").alias("v"), F.count_if(F.col("n") == 1).alias("once")).toArrow()  # 65,537 endings by CELLS at most
+        ending, cell, n, v, once = (per[c].to_numpy().astype(np.int64) for c in ("ending", "cell", "n", "v", "once"))
         self.total, self.distinct = int(n.sum()), int(v.sum())
-        mass = np.zeros(65536)
-        mass[ending[ending >= 0]] = n[ending >= 0]
-        self.table = _classes(mass)
-        cls = class_of(ending, self.table)
-        n_class, once_class = np.bincount(cls, n, CLASSES), np.bincount(cls, once, CLASSES)
-        unseen = (once_class + 0.5) / (n_class + 1.0)
-        unseen = np.where(n_class > 0, np.minimum(unseen, 0.999), 1.0)
-        self.log_unseen, self.log_seen = np.log10(unseen), np.log10(np.where(n_class > 0, (1 - unseen) / np.maximum(n_class, 1), 1.0))
+        self.table = _classes(np.bincount(ending[ending >= 0], n[ending >= 0], 65536))
+        cls = class_of(ending, self.table).astype(np.int64)
+        n_class = np.bincount(cls, n, CLASSES)
+        n_cell, once_cell = (np.bincount(cls * CELLS + cell, x, CLASSES * CELLS) for x in (n, once))
+        unseen = (once_cell + 0.5) / (n_cell + 1.0)
+        unseen = np.where(n_cell > 0, np.minimum(unseen, 0.999), 1.0)
+        self.log_unseen, self.log_seen = np.log10(unseen), np.log10(np.where(n_cell > 0, (1 - unseen) / np.maximum(n_cell, 1), 1.0))
 
         # the least count whose words and all more frequent ones are HEAD at most, on a logarithmic scale
         self.step = F.floor(F.log2("n") * 16)
@@ -265,10 +315,11 @@ class Model:
         order = np.argsort(words)
         self.words, self.freq = words[order], head["n"].to_numpy()[order]
 
-        weights = np.zeros((ROWS, CLASSES), np.float32)
-        weights[-1] = np.log(np.maximum(n_class, 0.5) / max(1, self.total))
+        weights = np.zeros((ROWS, CLASSES), np.float32), np.zeros((CELL_ROWS, CELLS), np.float32)
+        weights[0][-1] = np.log(np.maximum(n_class, 0.5) / max(1, self.total))
+        weights[1][CELL_SIZE:] = np.log(np.maximum(n_cell, 0.5).reshape(CLASSES, CELLS) / np.maximum(n_class, 1)[:, None])
         weights = train_round(train.where("slot = 0"), weights, self.table)
-        self.weights = train_round(train.where("slot <> 0"), weights, self.table)
+        self.weights, self.cell_weights = train_round(train.where("slot <> 0"), weights, self.table)
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -288,21 +339,25 @@ def measured(rows: DataFrame, model: Model) -> DataFrame:
     spark = rows.sparkSession
     counts, step, least_step, total, distinct = model.counts, model.step, model.least_step, model.total, model.distinct
     log_seen, log_unseen = model.log_seen, model.log_unseen
-    shared = spark.sparkContext.broadcast((model.weights, model.table, model.words, model.freq, log_seen))
+    shared = spark.sparkContext.broadcast((model.weights, model.cell_weights, model.table, model.words, model.freq, log_seen))
 
     def measure(batches):
-        w, table, words, freq, log_seen = shared.value
+        w, low, table, words, freq, log_seen = shared.value
         for b in batches:
             size = b.num_rows
             tokens, known, base, own = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size), np.zeros(size)
             tails = []
             for x in blocks(b.column(3)):
-                y = class_of(x.ending, table)
+                y, cell = class_of(x.ending, table).astype(np.int64), cell_of(x.hash)
                 chosen = np.empty(len(y))
-                f = x.features()
+                f, own_rows = x.features(), cell_rows(x.previous(), y)
                 for a in range(0, len(y), BATCH):
-                    p = probabilities(w, tuple(k[a : a + BATCH] for k in f))
-                    chosen[a : a + BATCH] = p[np.arange(len(p)), y[a : a + BATCH]]
+                    z = slice(a, a + BATCH)
+                    p = probabilities(w, tuple(k[z] for k in f))
+                    q = cell_probabilities(low, own_rows[z], y[z])
+                    at = np.arange(len(p))
+                    chosen[z] = p[at, y[z]] * np.where(y[z] > 0, q[at, cell[z]], 1.0)
+                y = y * CELLS + cell
                 at = np.minimum(np.searchsorted(words, x.hash), max(0, len(words) - 1))
                 hit = words[at] == x.hash if len(words) else np.zeros(len(y), bool)
                 c = freq[at[hit]]
@@ -314,7 +369,7 @@ def measured(rows: DataFrame, model: Model) -> DataFrame:
                 tails.append((x.row[~hit], x.hash[~hit].view(np.int64), y[~hit]))
             row, word, cl = (np.concatenate(t) if tails else np.empty(0, np.int64) for t in zip(*tails))
             order = np.lexsort((word, row))
-            row, word, cl = row[order], word[order], cl[order].astype(np.int8)
+            row, word, cl = row[order], word[order], cl[order].astype(np.int32)
             cut = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (word[1:] != word[:-1])])) if len(row) else np.empty(0, np.int64)
             times = np.diff(np.append(cut, len(row))).astype(np.int32)
             offsets = np.concatenate([[0], np.cumsum(np.bincount(row[cut], minlength=size))]).astype(np.int32)

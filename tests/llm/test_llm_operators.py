@@ -370,7 +370,12 @@ def _log_probability(model, counts, text):
         ending = -1 if w is None else w[-1] * 256 + (w[-2] if len(w) > 1 else 0)
         c = 0 if w is None else int(model.table[ending])
         out += (z[c] - np.logaddexp.reduce(z)) / math.log(10)
-        n = counts.get(_word(w))
+        cell = _word(w) >> 9 & maxent.CELLS - 1
+        if c:
+            row = _mixed((one * 0xB492B66FBE98F273 + c * 0x9AE16A3B2F90404F) & _M64) >> 49
+            z = model.cell_weights[[row, maxent.CELL_SIZE + c]].sum(axis=0, dtype=np.float64)
+            out += (z[cell] - np.logaddexp.reduce(z)) / math.log(10)
+        n, c = counts.get(_word(w)), c * maxent.CELLS + cell
         out += model.log_seen[c] + math.log10(n) if n else model.log_unseen[c]
         one, two = _word(w), one
     return out
@@ -387,10 +392,10 @@ def test_language_model_score_by_brute_force(spark, odd, monkeypatch):
         by.setdefault(i, t)
     for r in maxent.measured(rows, model).collect():
         assert abs(r.score - _log_probability(model, counts, by[r.doc_id])) < 1e-4 * max(1, abs(r.score))
-    # the words of a class and its unseen one have all its probability
+    # the words of a cell and its unseen one have all its probability
     mass: Counter = Counter()
     for r in model.counts.collect():
-        mass[0 if r.ending < 0 else int(model.table[r.ending])] += r.n
+        mass[(0 if r.ending < 0 else int(model.table[r.ending])) * maxent.CELLS + ((r.word & _M64) >> 9 & maxent.CELLS - 1)] += r.n
     assert all(abs(10 ** model.log_unseen[c] + n * 10 ** model.log_seen[c] - 1) < 1e-9 for c, n in mass.items())
 
 
@@ -420,6 +425,23 @@ def test_probabilities_sum_to_one():
     w = np.random.default_rng(1).standard_normal((maxent.ROWS, maxent.CLASSES)).astype(np.float32)
     f = tuple(np.array([0, 5], np.uint16) for _ in range(3))
     assert np.allclose(maxent.probabilities(w, f).sum(axis=1), 1, atol=1e-5)
+    low = np.random.default_rng(2).standard_normal((maxent.CELL_ROWS, maxent.CELLS)).astype(np.float32)
+    assert np.allclose(maxent.cell_probabilities(low, np.array([3, 9]), np.array([1, 31])).sum(axis=1), 1, atol=1e-5)
+
+
+def test_context_tells_the_words_of_one_class_apart(spark):
+    rnd = random.Random(22)
+    # all words end alike, so they are one class; each follows one other
+    follow = {f"w{i}ing": f"w{(i * 7 + 3) % 40}ing" for i in range(40)}
+    rows = []
+    for i in range(400):
+        w, text = rnd.choice(list(follow)), []
+        for _ in range(40):
+            text.append(w)
+            w = follow[w] if rnd.random() < 0.9 else rnd.choice(list(follow))
+        rows.append((i, " ".join(text), "s"))
+    got = maxent.score(make(spark, rows).repartition(2)).where("held_out").agg(F.sum("score").alias("a"), F.sum("base_score").alias("b"), F.sum("n_tokens").alias("n")).first()
+    assert (got.a - got.b) / got.n > 0.4  # classes alone gain nothing here
 
 
 def test_quality(spark):
