@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,15 +43,67 @@ def _square(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T, 0)
 
 
-def _nearest(cand: DataFrame, degree: int) -> DataFrame:
-    """The ``degree`` nearest of each node; a pair met before is not fresh."""
-    one = cand.groupBy("node", "nbr").agg(F.min("dist").alias("dist"), F.min("fresh").alias("fresh"))
-    order = Window.partitionBy("node").orderBy("dist", "nbr")
-    return one.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= degree).drop("rank")
+_LISTS = "node long, nbrs array<long>, dists array<float>, fresh array<boolean>"
+_LIST_SCHEMA = pa.schema([("node", pa.int64()), ("nbrs", pa.list_(pa.int64())), ("dists", pa.list_(pa.float32())), ("fresh", pa.list_(pa.bool_()))])
+
+
+def _lists(nodes: np.ndarray, sizes: np.ndarray, nbrs: np.ndarray, dists: np.ndarray, fresh: np.ndarray) -> pa.RecordBatch:
+    """A row for each of ``nodes``, of so many entries each."""
+    at = pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32))
+    columns = (pa.array(nbrs), pa.array(dists.astype(np.float32)), pa.array(fresh))
+    return pa.RecordBatch.from_arrays([pa.array(nodes), *(pa.ListArray.from_arrays(at, c) for c in columns)], schema=_LIST_SCHEMA)
+
+
+def _flat(t: pa.Table) -> tuple[np.ndarray, ...]:
+    """(node, nbr, dist, fresh) of every entry of a table of lists."""
+    t = t.combine_chunks()
+    lists = t.column("nbrs")
+    sizes = pa.compute.list_value_length(lists).to_numpy()
+    flat = (t.column(c).combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("nbrs", "dists", "fresh"))
+    return np.repeat(t.column("node").to_numpy(), sizes), *flat
+
+
+def _merge(cand: DataFrame, degree: int) -> DataFrame:
+    """The ``degree`` nearest of each node, nearest first, of lists (node, nbrs, dists, fresh); an entry met before is not fresh."""
+
+    def top(tables):
+        node, nbr, dist, fresh = _flat(pa.concat_tables(tables))
+        order = np.lexsort((fresh, nbr, node))
+        node, nbr, dist, fresh = (x[order] for x in (node, nbr, dist, fresh))
+        one = np.concatenate([[True], (node[1:] != node[:-1]) | (nbr[1:] != nbr[:-1])]) if len(node) else np.empty(0, bool)
+        node, nbr, dist, fresh = (x[one] for x in (node, nbr, dist, fresh))
+        order = np.lexsort((nbr, dist, node))
+        node, nbr, dist, fresh = (x[order] for x in (node, nbr, dist, fresh))
+        cut = np.flatnonzero(np.concatenate([[True], node[1:] != node[:-1]])) if len(node) else np.empty(0, np.int64)
+        sizes = np.diff(np.append(cut, len(node)))
+        keep = np.arange(len(node)) - np.repeat(cut, sizes) < degree
+        return _lists(node[cut], np.minimum(sizes, degree), nbr[keep], dist[keep], fresh[keep])
+
+    def merge(batches):
+        held: list[pa.Table] = []
+        for b in batches:
+            if not b.num_rows:
+                continue
+            keys = b.column(0).to_numpy()
+            last = int(np.searchsorted(keys, keys[-1]))
+            t = pa.Table.from_batches([b])
+            if held and keys[0] != held[-1].column(0)[-1].as_py():
+                yield top(held)
+                held = []
+            if last:
+                yield top([*held, t.slice(0, last)])
+                held = []
+            held.append(t.slice(last))
+            if len(held) > 1 and sum(h.num_rows for h in held) > 4096:  # a node that very many lists name
+                held = [pa.Table.from_batches([top(held)])]
+        if held:
+            yield top(held)
+
+    return cand.repartition("node").sortWithinPartitions("node").mapInArrow(merge, _LISTS)
 
 
 def _stretches(nodes: DataFrame, dim: int, degree: int, passes: int) -> DataFrame:
-    """Each node's nearest within stretches of STRETCH nodes of some random orders."""
+    """Lists of each node's nearest within stretches of STRETCH nodes of some random orders."""
     sample = _matrix(nodes.orderBy(F.xxhash64("node")).limit(SAMPLE).select("point").toArrow().column("point").combine_chunks())
     rng = np.random.default_rng(5)
     planes = [rng.standard_normal((dim, 12)) for _ in range(passes)]
@@ -65,61 +118,71 @@ def _stretches(nodes: DataFrame, dim: int, degree: int, passes: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), k, np.int32)), pa.array(code.astype(np.int64)), pa.array(at[:, 0].astype(np.float64)), b.column(0), b.column(1)], ["pass", "code", "along", "node", "point"])
 
     def search(batches):
-        def nearest(t):
-            ids, x = t.column("node").to_numpy(), _matrix(t.column("point").combine_chunks())
-            d = _square(x, x)
-            np.fill_diagonal(d, np.inf)
-            k = min(degree, len(ids) - 1)
-            if k < 1:
-                return
-            near = np.argpartition(d, k - 1, axis=1)[:, :k]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, k)), pa.array(ids[near].ravel()), pa.array(np.take_along_axis(d, near, 1).ravel().astype(np.float32))], ["node", "nbr", "dist"])
-
-        for _, rows in _stretch(runs(batches, "pass")):
-            yield from nearest(rows)
-
-    def _stretch(parts):
-        for k, t in parts:
+        for _, t in runs(batches, "pass"):
             for a in range(0, t.num_rows, STRETCH):
-                yield k, t.slice(a, STRETCH)
+                part = t.slice(a, STRETCH)
+                ids, x = part.column("node").to_numpy(), _matrix(part.column("point").combine_chunks())
+                k = min(degree, len(ids) - 1)
+                if k < 1:
+                    continue
+                d = _square(x, x)
+                np.fill_diagonal(d, np.inf)
+                near = np.argpartition(d, k - 1, axis=1)[:, :k]
+                yield _lists(ids, np.full(len(ids), k), ids[near].ravel(), np.take_along_axis(d, near, 1).ravel(), np.ones(near.size, bool))
 
     keyed = nodes.select("node", "point").mapInArrow(order, "pass int, code long, along double, node long, point binary")
     dealt = keyed.repartitionByRange("pass", "code", "along").sortWithinPartitions("pass", "code", "along", "node")
-    return dealt.mapInArrow(search, "node long, nbr long, dist float").withColumn("fresh", F.lit(True))
+    return dealt.mapInArrow(search, _LISTS)
 
 
 def _with_reverse(graph: DataFrame, degree: int) -> DataFrame:
-    back = graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "dist", "fresh")
+    """node, nbr, fresh: every node's neighbours and the ``degree`` nearest of those that name it; a mutual one comes twice."""
+    own = graph.select("node", F.explode(F.arrays_zip("nbrs", "dists", "fresh")).alias("x")).select("node", F.col("x.nbrs").alias("nbr"), F.col("x.dists").alias("dist"), F.col("x.fresh").alias("fresh"))
     order = Window.partitionBy("node").orderBy("dist", "nbr")
-    back = back.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= degree).drop("rank")
-    return graph.unionByName(back).groupBy("node", "nbr").agg(F.min("dist").alias("dist"), F.max("fresh").alias("fresh"))
+    back = own.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "dist", "fresh")
+    back = back.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= degree)
+    return own.select("node", "nbr", "fresh").unionByName(back.select("node", "nbr", "fresh"))
 
 
 def build_graph(nodes: DataFrame, dim: int, degree: int = DEGREE, rounds: int = ROUNDS, passes: int = PASSES) -> DataFrame:
-    """node, nbr, dist (squared, of scaled vectors), fresh: the neighbour graph of ``nodes`` (node, point)."""
-    graph = materialize(_nearest(_stretches(nodes, dim, degree, passes), degree), "graph")
+    """node, nbrs, dists (squared, of scaled vectors, least first), fresh: the neighbour graph of ``nodes`` (node, point)."""
+    graph = materialize(_merge(_stretches(nodes, dim, degree, passes), degree), "graph")
 
     def compare(batches):
+        held, size = [], 0
+
+        def flush():
+            return _lists(*(np.concatenate(x) for x in zip(*held)))
+
         for _, t in runs(batches, "node"):
-            if t.num_rows < 2:
+            ids, at, back = np.unique(t.column("nbr").to_numpy(), return_index=True, return_inverse=True)
+            if len(ids) < 2:
                 continue
-            t = t.slice(0, 2 * degree)
-            ids, fresh, reach = (t.column(c).to_numpy() for c in ("nbr", "fresh", "reach"))
-            d = _square(x := _matrix(t.column("point").combine_chunks()), x)
+            fresh = np.zeros(len(ids), bool)
+            np.logical_or.at(fresh, back, t.column("fresh").to_numpy())
+            reach = t.column("reach").to_numpy()[at]
+            d = _square(x := _matrix(t.column("point").take(pa.array(at)).combine_chunks()), x)
             ok = (fresh[:, None] | fresh[None]) & (d < reach[:, None])
             np.fill_diagonal(ok, False)
-            i, j = np.nonzero(ok)
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j]), pa.array(d[i, j].astype(np.float32))], ["node", "nbr", "dist"])
+            n = ok.sum(axis=1)
+            some = np.flatnonzero(n)
+            if len(some):
+                j = np.nonzero(ok)[1]
+                held.append((ids[some], n[some], ids[j], d[ok], np.ones(len(j), bool)))
+                size += len(j)
+                if size > 500_000:
+                    yield flush()
+                    held, size = [], 0
+        if held:
+            yield flush()
 
     for _ in range(rounds):
-        far = F.when(F.count("*") >= degree, F.max("dist")).otherwise(float("inf"))
-        reach = graph.groupBy("node").agg(far.cast("float").alias("reach"))
-        known = nodes.select(F.col("node").alias("nbr"), "point").join(reach.withColumnRenamed("node", "nbr"), "nbr", "left")
+        reach = F.when(F.size("dists") >= degree, F.array_max("dists")).otherwise(F.lit(float("inf"))).cast("float")
+        known = nodes.select(F.col("node").alias("nbr"), "point").join(graph.select(F.col("node").alias("nbr"), reach.alias("reach")), "nbr", "left")
         pairs = _with_reverse(graph, degree).join(known, "nbr").select("node", "nbr", "fresh", "point", F.coalesce("reach", F.lit(float("inf"))).cast("float").alias("reach"))
-        dealt = pairs.repartition("node").sortWithinPartitions("node", "nbr")
-        found = dealt.mapInArrow(compare, "node long, nbr long, dist float").withColumn("fresh", F.lit(True))
-        graph = materialize(_nearest(graph.withColumn("fresh", F.lit(False)).unionByName(found), degree), "graph")
+        found = pairs.repartition("node").sortWithinPartitions("node").mapInArrow(compare, _LISTS)
+        stale = graph.withColumn("fresh", F.transform("fresh", lambda x: F.lit(False)))
+        graph = materialize(_merge(stale.unionByName(found), degree), "graph")
         release(nodes.sparkSession)
     return graph
 
@@ -164,13 +227,12 @@ def search_graph(graph: DataFrame, nodes: DataFrame, queries: DataFrame, degree:
     that it meets are joined by node, and come together with their query's state in one more shuffle.
     """
     spark = nodes.sparkSession
-    links = _with_reverse(graph, degree).groupBy("node").agg(F.collect_list("nbr").alias("nbrs"))  # 2 * degree at the most
+    links = _with_reverse(graph, degree).groupBy("node").agg(F.collect_set("nbr").alias("nbrs"))  # 2 * degree at the most
     links = materialize(links, "links")
     points = nodes.select(F.col("node").alias("nbr"), "point")
-    begin = graph.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("dist", "nbr"))).alias("near"))
-    state = queries.join(nodes, queries.query == nodes.node).select("query", "point").join(begin, F.col("query") == begin.node, "left")
-    near = F.coalesce("near", F.array().cast("array<struct<dist:double,nbr:bigint>>"))
-    state = state.select("query", F.col("point").alias("own"), F.transform(near, lambda x: x["nbr"]).alias("ids"), F.transform(near, lambda x: x["dist"].cast("double")).alias("dists"))
+    state = queries.join(nodes, queries.query == nodes.node).select("query", "point").join(graph, F.col("query") == graph.node, "left")
+    ids, dists = F.coalesce("nbrs", F.array().cast("array<long>")), F.coalesce(F.col("dists").cast("array<double>"), F.array().cast("array<double>"))
+    state = state.select("query", F.col("point").alias("own"), ids.alias("ids"), dists.alias("dists"))
     state = state.withColumn("seen", F.transform("ids", lambda x, i: i < expand)).withColumn("next", F.slice("ids", 1, expand))
     kinds = "query long, own binary, ids array<long>, dists array<double>, seen array<boolean>, next array<long>"
     state = materialize(state, "walk")
