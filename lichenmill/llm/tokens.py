@@ -78,7 +78,8 @@ class ChunkEncoder:
             return "byte_level"
         steps = pre.get("pretokenizers") or [{}]
         drops = steps[0].get("type") == "Split" and steps[0].get("invert") and steps[0].get("behavior") == "Removed"
-        plain = {x.get("type") for x in (norm or {}).get("normalizers", [])} <= {"NFC", "Replace", "Lowercase"}
+        blanks = lambda x: x.get("type") == "Replace" and x.get("pattern") == {"Regex": r"\s+"} and x.get("content") == " "
+        plain = all(x.get("type") in ("NFC", "Lowercase") or blanks(x) for x in (norm or {}).get("normalizers", []))
         later = all(x.get("type") == "ByteLevel" and not x.get("use_regex") and not x.get("add_prefix_space") for x in steps[1:])
         return "spaced" if drops and plain and later else "whole"
 
@@ -217,36 +218,22 @@ def local_path(uri: str) -> str | None:
     return unquote(u.path) if u.scheme in ("", "file") else None
 
 
-def put(folder: str, name: str, data: bytes) -> None:
-    """Write a whole file under its final name only when complete; attempts of a task write the same bytes."""
-    at = local_path(folder)
-    if at is None:
-        fs, root = pa.fs.FileSystem.from_uri(folder)
-        with fs.open_output_stream(f"{root}/{name}") as f:
-            f.write(data)
-        return
-    os.makedirs(at, exist_ok=True)
-    part = f"{at}/.{name}.{os.getpid()}.{TaskContext.get().taskAttemptId() if TaskContext.get() else 0}"
-    with open(part, "wb") as f:
-        f.write(data)
-    os.replace(part, f"{at}/{name}")
-
-
 class _Sink:
     """Streams one flat file of a partition, so that memory does not grow with it."""
 
     def __init__(self, folder: str, name: str):
+        # an attempt writes under a name of its own, so that one which dies or comes second tears nothing
+        part = f".{name}.{TaskContext.get().taskAttemptId()}"
         at = local_path(folder)
-        self.final = None
         if at is None:
             import pyarrow.fs
 
-            fs, root = pyarrow.fs.FileSystem.from_uri(folder)
-            self.file = fs.open_output_stream(f"{root}/{name}")
+            self.fs, root = pyarrow.fs.FileSystem.from_uri(folder)
+            self.part, self.final = f"{root}/{part}", f"{root}/{name}"
+            self.file = self.fs.open_output_stream(self.part)
         else:
             os.makedirs(at, exist_ok=True)
-            self.final = f"{at}/{name}"
-            self.part = f"{at}/.{name}.{TaskContext.get().taskAttemptId()}"
+            self.fs, self.part, self.final = None, f"{at}/{part}", f"{at}/{name}"
             self.file = open(self.part, "wb")
 
     def write(self, a: np.ndarray) -> None:
@@ -254,8 +241,7 @@ class _Sink:
 
     def close(self) -> None:
         self.file.close()
-        if self.final:
-            os.replace(self.part, self.final)
+        (self.fs.move if self.fs else os.replace)(self.part, self.final)
 
 
 def fetch(folder: str, name: str, dtype: str) -> np.ndarray:
