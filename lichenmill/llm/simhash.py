@@ -185,7 +185,11 @@ def near_groups(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame
 
 
 def drop_near(docs: DataFrame, shingle: int = 4, radius: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their component's smallest, with their columns."""
+    """The rows of ``docs`` whose doc_id is their component's smallest, with their columns.
+
+    Repeated rows stay together; rows without a doc_id stay where their component has no other; wordless
+    and null texts are one component; no rows give no rows.
+    """
     keep = near_groups(docs, shingle, radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
     return docs.join(keep, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi").select(*docs.columns)
 
