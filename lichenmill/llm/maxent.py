@@ -120,7 +120,7 @@ class Block:
 def cell_rows(previous: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """Weight row of the cell factor of each token, from the word before it and its class."""
     h = _mix(previous * np.uint64(0xB492B66FBE98F273) + classes.astype(np.uint64) * np.uint64(0x9AE16A3B2F90404F))
-    return (h >> np.uint64(65 - CELL_SIZE.bit_length())).astype(np.int64)
+    return (h >> np.uint64(65 - CELL_SIZE.bit_length())).astype(np.uint16)
 
 
 def cell_of(hashes: np.ndarray) -> np.ndarray:
@@ -221,12 +221,12 @@ class _Descent:
         self.start, self.w = start, start.copy()
         self.square, self.met = np.full(len(start), 1e-2, np.float32), np.zeros(len(start), np.int64)
 
-    def step(self, rows: np.ndarray, g: np.ndarray) -> None:
-        """Move each row by its summed gradient."""
+    def step(self, rows: np.ndarray, g: np.ndarray, base: int = 0) -> None:
+        """Move each row, counted from ``base``, by its summed gradient; numbers of 16 bits are sorted by radix."""
         order = np.argsort(rows, kind="stable")
         sorted_ = rows[order]
         cut = np.concatenate([[0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1])
-        move, row = np.add.reduceat(g[order], cut, axis=0), sorted_[cut].astype(np.int64)
+        move, row = np.add.reduceat(g[order], cut, axis=0), sorted_[cut].astype(np.int64) + base
         self.square[row] += np.einsum("ij,ij->i", move, move) / g.shape[1]
         self.w[row] -= (RATE / np.sqrt(self.square[row]))[:, None] * move
         self.met[row] += np.diff(np.append(cut, len(rows)))
@@ -260,8 +260,8 @@ def train_round(rows: DataFrame, start: tuple[np.ndarray, np.ndarray], table: np
                     g = probabilities(top.w, part)
                     g[np.arange(len(g)), y[z]] -= 1
                     for k, base in zip(part, BASES):
-                        top.step(k.astype(np.int32) + np.int32(base), g)
-                    top.step(np.full(1, ROWS - 1), g.sum(axis=0, keepdims=True))
+                        top.step(k, g, base)
+                    top.step(np.zeros(1, np.uint16), g.sum(axis=0, keepdims=True), ROWS - 1)
                     top.met[-1] += len(g) - 1
                     inner = np.flatnonzero(y[z] > 0) + a
                     if len(inner):
@@ -269,7 +269,7 @@ def train_round(rows: DataFrame, start: tuple[np.ndarray, np.ndarray], table: np
                         g = cell_probabilities(low.w, own, kind)
                         g[np.arange(len(g)), cell[inner]] -= 1
                         low.step(own, g)
-                        low.step(CELL_SIZE + kind, g)
+                        low.step(kind.astype(np.uint16), g, CELL_SIZE)
         for half, base in ((top, 0), (low, ROWS)):
             for row, met, delta in half.moves(base):
                 yield pa.RecordBatch.from_arrays([pa.array(row.astype(np.int32)), pa.array(met), *(pa.array(delta[:, i]) for i in range(CLASSES))], ["row", "met", *names])
