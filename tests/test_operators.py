@@ -271,6 +271,26 @@ def test_extend_is_optimal():
         assert cost == best and sum(o in "=XD" for o in ops) == end - start
 
 
+def test_extension_side_by_side(monkeypatch):
+    rnd = random.Random(12)
+    text = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    q = text(60)
+    changed = lambda: "".join(c if rnd.random() < 0.9 else rnd.choice(["", "A", c + "G"]) for c in q)
+    subjects = [text(rnd.randint(0, 40)) + changed() + text(rnd.randint(0, 40)) for _ in range(30)] + ["", "A", q, "TT" + q + q]
+    one = [align.extend(q, s) for s in subjects]
+    assert align.extend_all(q, subjects) == one
+    monkeypatch.setattr(align, "EXTENDED", 7)
+    assert align.extend_all(q, subjects) == one
+    for (cost, start, end, ops), s in zip(one, subjects):
+        at, there, paid, last = 0, start, 0, ""
+        for o in ops:
+            if o in "=X":
+                assert (q[at] == s[there]) == (o == "=")
+            paid += {"=": 0, "X": align.MATCH + align.MISMATCH, "I": align.MATCH + align.GAP_EXTEND, "D": align.GAP_EXTEND}[o] + align.GAP_OPEN * (o in "ID" and o != last)
+            at, there, last = at + (o in "=XI"), there + (o in "=XD"), o
+        assert (at, there, paid) == (len(q), end, cost)
+
+
 def _cost(q, s):
     from lichenmill.functions.pairwise import align as exact
 
