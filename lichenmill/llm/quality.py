@@ -2,9 +2,11 @@
 
 Two generative models over hashed n-grams (of bytes and of words) are counted: one on labelled good
 texts (the target), one on all texts (raw). A document's log importance is the sum, over its n-grams,
-of the log ratio of the two. Gumbel noise is added and the k largest stay, which draws k documents
-without replacement in proportion to their importance; k is the number of documents whose importance
-passes the level that best parts labelled documents that the target model has not counted.
+of the log ratio of the two, by the square root of their number, with which the sum's own noise grows,
+so that length does not decide; a temperature sets how far Gumbel noise reaches. That noise is added
+and the k largest stay, which draws k documents without replacement in proportion to their importance;
+k is the number of documents whose importance passes the level that best parts labelled documents that
+the target model has not counted.
 """
 
 from __future__ import annotations
@@ -20,8 +22,8 @@ from .maxent import word_hashes
 #: Buckets of byte 3-grams, then those of word 2-grams.
 GRAMS = 1 << 16
 FEATURES, GRAM = 2 * GRAMS, 3
-#: Pseudo-counts a bucket, dealt out as the raw model has it, that the target model starts from.
-PRIOR = 2.0
+#: What log importances are multiplied by, against Gumbel noise of a standard deviation of 1.3.
+TEMPERATURE = 2.0
 #: At most this many labelled documents are used, half for the target model and half for the level.
 LABELLED = 20_000
 #: Bytes that are hashed at once.
@@ -124,10 +126,9 @@ def _labelled(labels: DataFrame, most: int) -> DataFrame:
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Log of target share by raw share of each bucket; the target's prior is the raw model."""
-    share = (raw + 0.5) / (raw.sum() + 0.5 * len(raw))
-    weight = PRIOR * len(raw)
-    return np.log((target + weight * share) / (target.sum() + weight)) - np.log(share)
+    """Log of target share by raw share of each bucket, half a count added to each."""
+    share = lambda n: np.log((n + 0.5) / (n.sum() + 0.5 * len(n)))
+    return share(target) - share(raw)
 
 
 class QualityModel:
@@ -137,15 +138,16 @@ class QualityModel:
         self.shared, self.level = spark.sparkContext.broadcast(ratios.astype(np.float32)), level
 
     def scored(self, docs: DataFrame) -> DataFrame:
-        """``docs`` with __weight, the log importance of its text (0 where it has no n-gram)."""
+        """``docs`` with __weight, the tempered log importance of its text (0 where it has no n-gram)."""
         shared = self.shared
 
         @F.arrow_udf("double")
         def weigh(texts: pa.Array) -> pa.Array:
-            table, total = shared.value, np.zeros(len(texts))
+            table, total, n = shared.value, np.zeros(len(texts)), np.zeros(len(texts))
             for row, code in grams(texts):
                 total += np.bincount(row, table[code].astype(np.float64), len(texts))
-            return pa.array(total)
+                n += np.bincount(row, minlength=len(texts))
+            return pa.array(TEMPERATURE * total / np.sqrt(np.maximum(n, 1)))
 
         return docs.withColumn("__weight", weigh(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
 

@@ -482,7 +482,8 @@ def test_quality_weights_by_brute_force(spark, monkeypatch, block):
     assert [sorted(g) for g in got] == [sorted(_grams(t)) for t in ODD_TEXTS]
     model = quality.QualityModel(spark, np.arange(quality.FEATURES) / 1000)
     for r in model.scored(make(spark, [(i, t, "s") for i, t in enumerate(ODD_TEXTS)])).collect():
-        want = sum(float(np.float32(c / 1000)) for c in _grams(r.text))
+        codes = _grams(r.text)
+        want = quality.TEMPERATURE * sum(float(np.float32(c / 1000)) for c in codes) / math.sqrt(max(1, len(codes)))
         assert abs(r["__weight"] - want) < 1e-6 * max(1, abs(want))
 
 
@@ -495,7 +496,7 @@ def test_quality_models_by_brute_force(spark, odd):
             want.update((k, c) for c in _grams(t))
     assert got == want
     ratio = quality.log_ratios(np.array([10.0, 80, 0]), np.array([8.0, 1, 0]))
-    assert ratio[0] > 0 > ratio[1] and abs(ratio[2]) < 1e-9 + abs(np.log(6 / 15))
+    assert np.allclose(ratio, np.log(np.array([8.5, 1.5, 0.5]) / 10.5) - np.log(np.array([10.5, 80.5, 0.5]) / 91.5))
 
 
 def test_gumbel_draws_near_the_level(spark):
