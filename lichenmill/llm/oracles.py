@@ -41,6 +41,42 @@ SELECT doc_id, size, source_size, target, taken, CASE WHEN taken > 0 THEN slot E
 FROM taken t LEFT JOIN filled f ON t.source IS NOT DISTINCT FROM f.source AND f.rank = t.start // 4096
 """
 
+_ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""".replace("'", "''")
+_KINDS = ((0, _ASSIGN, 2), (1, "AKIA[A-Z0-9]{16,}", 0), (2, "[0-9a-f]{24,}", 0), (3, "[A-Za-z0-9+/_-]{20,}", 0))
+
+OP6 = (
+    """
+WITH docs AS (SELECT row_number() OVER () AS uid, doc_id, source, coalesce(text, '') AS text FROM documents),
+found AS ("""
+    + " UNION ALL ".join(
+        f"SELECT uid, doc_id, source, {k} AS kind, regexp_extract_all(text, '{p}', 0) AS m, regexp_extract_all(text, '{p}', {g}) AS v, string_split_regex(text, '{p}') AS gaps FROM docs"
+        for k, p, g in _KINDS
+    )
+    + """),
+each AS (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM found WHERE len(m) > 0),
+placed AS (
+  SELECT uid, doc_id, source, kind, v[i] AS value, length(m[i]) AS size,
+    (list_sum(list_transform(gaps[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::BIGINT AS start FROM each),
+known AS (
+  SELECT *, start + size AS stop FROM placed
+  WHERE kind IN (1, 2) OR (kind = 0 AND length(value) >= 6)
+    OR (kind = 3 AND regexp_matches(value, '[0-9]') AND regexp_matches(value, '[A-Za-z]') AND len(list_distinct(string_split(value, ''))) >= 10)),
+owners AS (
+  SELECT value, count(DISTINCT coalesce('s' || source, 'null')) <= 2 AND count(DISTINCT uid) <= 8 AS live FROM known GROUP BY value),
+judged AS (SELECT k.*, live FROM known k JOIN owners USING (value)),
+spans AS (
+  SELECT uid, kind, start, stop, live FROM judged WHERE kind < 3
+  UNION ALL SELECT uid, kind, start, stop, live FROM judged j
+  WHERE kind = 3 AND live AND NOT EXISTS (FROM judged b WHERE b.uid = j.uid AND b.kind < 3 AND b.start <= j.start AND b.stop >= j.stop)),
+said AS (SELECT *, ['assign', 'access', 'hex', 'owned'][kind + 1] || ':' || start || ':' || stop AS span FROM spans)
+SELECT any_value(d.doc_id) AS doc_id, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+  sha256(coalesce(string_agg(span, ',' ORDER BY start, kind, stop) FILTER (kind < 3), '')) AS base_sha256,
+  coalesce(string_agg(span, ',' ORDER BY start, kind, stop) FILTER (kind IS NOT NULL), '') AS spans,
+  count(*) FILTER (kind = 3) AS n_owned, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_copied
+FROM docs d LEFT JOIN said s USING (uid) GROUP BY uid
+"""
+)
+
 OP7 = """
 SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
        count(*) OVER (PARTITION BY coalesce(text, ''))::BIGINT AS group_size,
@@ -68,4 +104,4 @@ FROM upto GROUP BY conv_id, alone
 
 
 def oracle_sql() -> dict:
-    return {"op1_mixing": OP1, "op7_exact": OP7, "op10_chat": OP10}
+    return {"op1_mixing": OP1, "op6_secrets": OP6, "op7_exact": OP7, "op10_chat": OP10}
