@@ -603,8 +603,8 @@ def _minimap2(spark, sf):
 def _save_index(spark, sf):
     path = scratch_path(spark, "x.mmi")
     done = align.save_minimap2_index(spark, _references(spark, sf), path).select("success", "num_subjects")
-    index = align.load_index(spark, path)
-    return done.withColumns({"num_read": F.lit(len(index.subjects)).cast("bigint"), "bases": F.lit(sum(len(x) for _, x in index.subjects)).cast("bigint")})
+    subjects = align.open_index(spark, path)[0]
+    return done.crossJoin(subjects.agg(F.count("*").alias("num_read"), F.sum(F.length("sequence")).alias("bases")))
 
 
 @query("t3_align_sharded", _BEST_SQL)

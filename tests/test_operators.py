@@ -276,6 +276,25 @@ def test_classify_counts_in_blocks(spark, tmp_path, monkeypatch):
             assert "hits" not in found._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_index_is_written_by_tasks(spark, tmp_path, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("subjects on the driver")
+
+    rnd = random.Random(15)
+    refs = [(f"r{i % 7}", "".join(rnd.choice("ACGT") for _ in range(100))) for i in range(30)]
+    path = str(tmp_path / "x.mmi")
+    monkeypatch.setattr(align, "MOST_SUBJECT_BASES", 2999)
+    monkeypatch.setattr(type(spark.range(1)), "toArrow", refuse)
+    assert align.save_minimap2_index(spark, spark.createDataFrame(refs, "read_id string, sequence1 string").repartition(5), path).first().num_subjects == 30
+    subjects, seeds, p = align.open_index(spark, path)
+    rows = subjects.orderBy("subject").collect()
+    assert [r.subject for r in rows] == list(range(30)) and [r.name for r in rows] == sorted(n for n, _ in refs) and p == {"k": 21, "w": 11}
+    want = align.Index([(r.name, r.sequence) for r in rows], 21, 11)
+    assert sorted((r.subject, r.place) for r in seeds.collect()) == sorted(zip(want.subject.tolist(), want.place.tolist()))
+    with pytest.raises(ValueError, match="align in shards"):
+        align.load_index(spark, path)
+
+
 def test_one_shard_with_most_reads(spark, tmp_path):
     rnd = random.Random(11)
     refs = [(f"r{i}", "".join(rnd.choice("ACGT") for _ in range(300))) for i in range(4)]
