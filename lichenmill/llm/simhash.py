@@ -487,11 +487,23 @@ def _whole_groups(rows: DataFrame, families: DataFrame, shingle: int, similarity
     return small.unionByName(materialize(_large_groups(sets, similarity), "large-groups"))
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def _fingerprint_links(marked: DataFrame, radius: int) -> DataFrame:
+    """u, v: each node of ``marked`` (node, fp) with the smallest node that its fingerprint is linked to."""
+    per = materialize(marked.groupBy("fp").agg(F.min("node").alias("low"), F.count("*").alias("n")), "distinct-fps")
+    linked = per.join(components(link_edges(per.select("fp"), radius)).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = linked.groupBy("root").agg(F.min("low").alias("v"), F.sum("n").alias("all"))
+    whole = materialize(linked.join(least, "root").where("all > 1").select("fp", "n", "v"), "fp-links")
+    total = per.agg(F.sum("n")).first()[0] or 0
+    return join_counted(marked.select("node", "fp"), whole, "fp", "n", total).where("node <> v").select(F.col("node").alias("u"), "v")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int | None = None) -> DataFrame:
     """node, doc_id, component_id, kept: near-duplicates by the Jaccard similarity of word shingles.
 
     node is a hash of doc_id and text, so repeated rows are one document. Pairs that share a band of
-    minimum hashes are proposed and then verified on whole texts. component_id is the smallest doc_id of
+    minimum hashes are proposed and then verified on whole texts. With ``radius``, texts whose
+    fingerprints (``near_groups``) differ in as many bits or fewer are linked as well, and a group is
+    whatever links of both kinds lead to. component_id is the smallest doc_id of
     the group, and the document that has it is kept (of several, one); a null doc_id stays only where a
     group has no other. A null text is empty; texts of fewer words than a shingle are one shingle, so
     they are similar if they have the same words, none included. No rows give no rows; extra columns are
@@ -506,13 +518,17 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
             least = np.array([minimum_hashes(x, n) for x in found], np.uint64).reshape(-1, n)
             keys = [_band_keys(x) for x in least]
             marks = [x.tobytes() for x in (least >> np.uint64(20)).astype(np.uint8)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array([len(x) for x in found], pa.int64())], ["node", "doc_id", "buckets", "marks", "n"])
+            fps = np.fromiter((fingerprint(t.as_py()) if radius is not None else 0 for t in b.column(2)), np.uint64, b.num_rows)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(marks, pa.binary()), pa.array([len(x) for x in found], pa.int64()), pa.array(fps.view(np.int64))], ["node", "doc_id", "buckets", "marks", "n", "fp"])
 
-    marked = materialize(rows.mapInArrow(mark, "node long, doc_id long, buckets array<long>, marks binary, n long").dropDuplicates(["node"]), "minimum-hashes")
+    marked = materialize(rows.mapInArrow(mark, "node long, doc_id long, buckets array<long>, marks binary, n long, fp long").dropDuplicates(["node"]), "minimum-hashes")
     dealt = marked.select(F.explode("buckets").alias("bucket"), "node", "marks")
     edges = _proposals(dealt, least_equal(n, similarity), BUCKET)
     families = components(edges).join(marked.select("node", "n"), "node")
     groups = _whole_groups(rows, families, shingle, similarity)
+    if radius is not None:
+        links = groups.where("node <> root").select(F.col("node").alias("u"), F.col("root").alias("v"))
+        groups = components(_fingerprint_links(marked, radius).unionByName(links))
     linked = marked.select("node", "doc_id").join(groups, "node", "left").withColumn("root", F.coalesce("root", "node"))
     best = linked.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "node")).alias("best"))
     return linked.join(best, "root").select("node", "doc_id", F.col("best.doc_id").alias("component_id"), (F.col("node") == F.col("best.node")).alias("kept"))
@@ -522,7 +538,7 @@ def node_id():
     return F.xxhash64(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), F.coalesce(F.col("text"), F.lit("")))
 
 
-def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int | None = None) -> DataFrame:
     """The rows of ``docs`` that ``similar_groups`` keeps, with their columns."""
-    drop = similar_groups(docs, shingle, similarity).where("NOT kept").select(F.col("node").alias("__node"))
+    drop = similar_groups(docs, shingle, similarity, radius).where("NOT kept").select(F.col("node").alias("__node"))
     return docs.withColumn("__key", node_id()).join(drop, F.col("__key") == F.col("__node"), "left_anti").select(*docs.columns)

@@ -746,6 +746,28 @@ def _brute_groups(rows):
     return {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
 
 
+def test_near_stage_links_fingerprints_and_shingles(spark):
+    import corpus_pipeline
+
+    rnd = random.Random(17)
+    fresh = lambda n: [f"u{rnd.randrange(10**9)}" for _ in range(n)]
+    often = "the red fox ran home".split() * 40
+    a, b = often + fresh(12), often + fresh(12)  # four-word shingles with repeats say the same, sets of shingles do not
+    c = b[:]
+    c[-1] = "last"  # and this one is similar to the second by its shingles
+    rows = [(5, " ".join(a), "s"), (6, " ".join(b), "s"), (7, " ".join(c), "s"), (8, " ".join(fresh(60)), "s"), (9, None, "s")]
+    far = fresh(80)
+    rows += [(20, " ".join(far), "s"), (21, " ".join([*far[:40], "x", *far[41:]]), "s")]
+    prints = {d: simhash.fingerprint((t or "").encode()) for d, t, _ in rows}
+    near = lambda x, y: (prints[x] ^ prints[y]).bit_count() <= 4
+    assert near(5, 6) and not near(20, 21) and _jaccard(rows[0][1], rows[1][1]) < 0.8 <= _jaccard(rows[5][1], rows[6][1])
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(docs(spark, rows), radius=4).collect()}
+    assert got == {5: 5, 6: 5, 7: 5, 8: 8, 9: 9, 20: 20, 21: 20}
+    kept = corpus_pipeline._near(spark, docs(spark, rows), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [5, 8, 9, 20]
+    assert corpus_pipeline._near(spark, docs(spark, rows).limit(0), "").count() == 0
+
+
 def test_similar_groups_near_the_line(spark):
     rnd = random.Random(13)
     rows = []
