@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lichenmill import __version__
 from lichenmill.functions import cigar, flags, misc, pairwise, quality, sequences
 from lichenmill.operators import align, analysis, intervals, minimizers, tree
-from lichenmill.scratch import scratch_path
+from lichenmill.scratch import scratch_path, scratch_table
 from lichenmill.ship import ship
 from lichenmill.sources import biom, fastx, newick, sam, sff, sinks, text
 
@@ -146,7 +146,7 @@ _DNA_SQL = "WITH dna AS (SELECT doc_id, regexp_replace(text, '[^ACGTacgt]', '',
 
 def _dna(spark, sf, letters: str = "ACGTacgt") -> DataFrame:
     """doc_id, s: the nucleotide letters of a whole text: how this table gets sequences at all."""
-    return _t(spark, sf, "documents").select("doc_id", F.regexp_replace("text", f"[^{letters}]", "").alias("s"))
+    return _t(spark, sf, "documents").select("doc_id", F.regexp_replace("text", f"[^{letters}]+", "").alias("s"))
 
 
 def _spread(df: DataFrame) -> DataFrame:
@@ -575,16 +575,23 @@ def _references(spark, sf) -> DataFrame:
     return rows.where(F.length("sequence1") > _LONG)
 
 
-def _fragments(spark, sf) -> DataFrame:
+def _written(spark, rows: DataFrame, name: str) -> DataFrame:
+    """Rows that are dear to make and read many times."""
+    path = scratch_table(spark, name)
+    rows.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
+def _fragments(references: DataFrame) -> DataFrame:
     """A read of 150 bases of each reference."""
-    return _spread(_references(spark, sf).select(F.concat(F.lit("q"), F.col("read_id")).alias("read_id"), F.substring("sequence1", 101, 150).alias("sequence1")))
+    return _spread(references.select(F.concat(F.lit("q"), F.col("read_id")).alias("read_id"), F.substring("sequence1", 101, 150).alias("sequence1")))
 
 
-def _best_alignments(spark, sf, found: DataFrame) -> DataFrame:
+def _best_alignments(references: DataFrame, found: DataFrame) -> DataFrame:
     """Every read's primary alignment, and whether the reference has the read where it says."""
     first = found.where(F.col("flags").bitwiseAND(F.lit(0x900)) == 0)
-    subjects = _references(spark, sf).select(F.col("read_id").alias("reference"), F.col("sequence1").alias("subject"))
-    reads = _fragments(spark, sf).select("read_id", F.col("sequence1").alias("query"))
+    subjects = references.select(F.col("read_id").alias("reference"), F.col("sequence1").alias("subject"))
+    reads = _fragments(references).select("read_id", F.col("sequence1").alias("query"))
     rows = first.join(subjects, "reference").join(reads, "read_id")
     there = F.substring("subject", F.col("position").cast("int"), (F.col("stop_position") - F.col("position") + 1).cast("int"))
     turned = F.when(F.col("flags").bitwiseAND(F.lit(0x10)) > 0, sequences.sequence_dna_reverse_complement("query")).otherwise(F.col("query"))
@@ -596,7 +603,8 @@ _BEST_SQL = _DNA_SQL + f"SELECT 'qref' || doc_id AS read_id, '150=' AS cigar, 30
 
 @query("t1_align_minimap2", _BEST_SQL)
 def _minimap2(spark, sf):
-    return _best_alignments(spark, sf, align.align_minimap2(spark, _fragments(spark, sf), _references(spark, sf)))
+    references = _written(spark, _references(spark, sf), "references")
+    return _best_alignments(references, align.align_minimap2(spark, _fragments(references), references))
 
 
 @query("t2_save_index", _DNA_SQL + f"SELECT true AS success, count(*) AS num_subjects, count(*) AS num_read, sum(length(s))::BIGINT AS bases {_READ_SQL}")
@@ -610,11 +618,12 @@ def _save_index(spark, sf):
 @query("t3_align_sharded", _BEST_SQL)
 def _sharded(spark, sf):
     folder = scratch_path(spark, "shards")
+    references = _written(spark, _references(spark, sf), "references")
     shard = lambda: F.pmod(F.xxhash64(F.regexp_extract("read_id", "ref.*", 0)), F.lit(4)).cast("string")
     for k in "0123":
-        align.save_minimap2_index(spark, _references(spark, sf).where(shard() == k), f"{folder}/{k}.mmi")
-    q = _fragments(spark, sf)
-    return _best_alignments(spark, sf, align.align_minimap2_sharded(spark, q, folder, q.select("read_id", shard().alias("shard_name"))))
+        align.save_minimap2_index(spark, references.where(shard() == k), f"{folder}/{k}.mmi")
+    q = _fragments(references)
+    return _best_alignments(references, align.align_minimap2_sharded(spark, q, folder, q.select("read_id", shard().alias("shard_name"))))
 
 
 @query(
@@ -693,7 +702,7 @@ SELECT 'qref' || d AS read_id, 'ref' || bucket AS bucket_name, round(score, 6) A
 def _classify(spark, sf):
     path = scratch_path(spark, "x.index")
     minimizers.build_index(spark, _references(spark, sf), path, k=16, w=8)
-    return minimizers.classify(spark, path, _fragments(spark, sf), threshold=0.5).select("read_id", "bucket_name", F.round("score", 6).alias("score"))
+    return minimizers.classify(spark, path, _fragments(_references(spark, sf)), threshold=0.5).select("read_id", "bucket_name", F.round("score", 6).alias("score"))
 
 
 # --- relational operators ------------------------------------------------------------------------

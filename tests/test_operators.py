@@ -418,3 +418,67 @@ def test_strand_minimizers_read_whole_texts(spark, tmp_path):
     row = registry.queries()["t8_strand_minimizers"](spark, str(tmp_path)).first()
     want = [len(minimizers.minimizers(x, 16, 8)[0]) for x in (text[400:].encode(), minimizers.reverse_complement(text[400:].encode()))]
     assert [row.n_fwd, row.n_rc] == want and min(want) > 300
+
+
+def test_places_of_many_reads_together(monkeypatch):
+    rnd = random.Random(17)
+    text = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    shared = text(60)
+    refs = [(f"r{i % 9}", text(rnd.randint(0, 80)) + (shared if i % 2 else "") * (i % 4) + text(70)) for i in range(30)]
+    reads = [s[i : i + 90] for i, (_, s) in enumerate(refs)] + [align.reverse_complement(s[:80]) for _, s in refs[:5]] + ["", "ACG", shared, shared[:20], "N" * 50, shared[:30] + "N" + shared[30:]]
+    index = align.Index(refs, 15, 5)
+    want = []
+    for read in reads:
+        found = []
+        for turned, one in ((False, read), (True, align.reverse_complement(read))):
+            counts = {}
+            for h, i in zip(*(x.tolist() for x in align._seeds(one, 15, 5))):
+                for at in (index.hashes == h).nonzero()[0].tolist():
+                    key = int(index.subject[at]), (int(index.place[at]) - i) // 32
+                    counts[key] = counts.get(key, 0) + 1
+            taken = set()
+            for s, d in sorted(counts):
+                if (s, d - 1) not in taken:
+                    taken.add((s, d))
+                    found.append((s, d * 32, turned, counts[s, d] + counts.get((s, d + 1), 0)))
+        want.append(sorted(found, key=lambda f: (-f[3], f[0], f[2], f[1])))
+    assert sum(map(len, want)) > 300
+    for most, hits in ((1 << 8, 1 << 15), (7, 50), (1, 1)):
+        monkeypatch.setattr(align, "READS_AT_ONCE", most)
+        monkeypatch.setattr(align, "HITS_AT_ONCE", hits)
+        assert list(align.candidates_of(index, reads)) == want
+    assert list(align.align_reads(index, reads)) == [align.align_read(index, r) for r in reads]
+
+
+def test_traces_of_many_reads_together(monkeypatch):
+    rnd = random.Random(18)
+    text = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    queries = [text(50) for _ in range(40)]
+    subjects = [text(rnd.randint(0, 30)) + q[: i % 50] + text(i % 7) + q[i % 50 + i % 5 :] + text(rnd.randint(0, 30)) for i, q in enumerate(queries)]
+    one = [align.extend(q, s) for q, s in zip(queries, subjects)]
+    inexact = [k for k, (q, s) in enumerate(zip(queries, subjects)) if q not in s]
+    assert align.extend_pairs([queries[k].encode() for k in inexact], [subjects[k].encode() for k in inexact]) == [one[k] for k in inexact]
+    # 40 reads that each have one place to trace take one matrix, not 40
+    read = [text(150) for _ in range(40)]
+    index = align.Index([(f"r{i:02}", text(60) + r[:70] + ("A" if r[70] != "A" else "C") + r[71:] + text(60)) for i, r in enumerate(read)], 15, 5)
+    calls, extend = [], align._extend
+    monkeypatch.setattr(align, "_extend", lambda q, s: calls.append(len(s)) or extend(q, s))
+    assert [a[0]["cigar"] for a in align.align_reads(index, read)] == ["70=1X79="] * 40
+    assert sum(calls) == 40 and len(calls) <= 2
+
+
+def test_few_reads_are_many_tasks(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rnd = random.Random(19)
+    refs = [(f"r{i}", "".join(rnd.choice("ACGT") for _ in range(300))) for i in range(3)]
+    for i in range(3):
+        align.save_minimap2_index(spark, spark.createDataFrame(refs[i : i + 1], "read_id string, sequence1 string"), f"{tmp_path}/s{i}.mmi")
+    of = [0 if i % 10 else i // 10 % 3 for i in range(150)]
+    reads = spark.createDataFrame([(f"q{i}", refs[k][1][i % 100 : i % 100 + 120]) for i, k in enumerate(of)], "read_id string, sequence1 string")
+    to = spark.createDataFrame([(f"q{i}", f"s{k}") for i, k in enumerate(of)], "read_id string, shard_name string")
+    got = align.align_minimap2_sharded(spark, reads, str(tmp_path), to, max_secondary=0).select("read_id", "reference", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r.read_id, r.reference) for r in got) == sorted((f"q{i}", f"r{k}") for i, k in enumerate(of))
+    # small reads were merged into one task, however long they take
+    assert len({r.task for r in got}) > spark.sparkContext.defaultParallelism
+    assert sum(len({r.reference for r in got if r.task == t}) > 1 for t in {r.task for r in got}) <= 2
